@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import fingerprints, quality
 from .workspace import documents
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.digest(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.size("fingerprint").cast("long").alias("n_chosen"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     m = {k: F.col(f"measures.{part}.{k}") for k, part in (("n_words", "w"), ("word_chars", "w"), ("n_symbols", "s"), ("n_dup_lines", "l"), ("n_repeat_words", "w"))}
@@ -21,6 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_quality_rules": op3_quality_rules,
 }
 
