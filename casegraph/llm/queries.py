@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality, simhash
-from .workspace import documents
+from . import bpe, fingerprints, packing, quality, simhash, token_files
+from .workspace import Workspace, documents
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir).select("doc_id", "text"), end_id=2, capacity=1024)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", bpe.round_trip(F.col("text")).alias("r"))
+    return docs.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Workspace(spark, "token-files").root
+    token_files.write(documents(spark, sf_dir).select("doc_id", "text"), folder, end_id=0)
+    return token_files.read(spark, folder, checksums=True).withColumnRenamed("key", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(F.col("code")).alias("fingerprint"), "component_id")
@@ -40,7 +55,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_bpe": op4_bpe,
+    "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
