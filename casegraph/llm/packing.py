@@ -39,7 +39,17 @@ class Slot:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
-    """counts: number of pieces of each length, 1 to capacity."""
+    """counts: number of pieces of each length, 1 to capacity.
+
+    Small tables have few short pieces, and filling gaps exactly may use up those that others need more. So the plan is
+    also made with pairs only, with single lengths only and with best fit alone; the one of fewest sequences counts, of
+    equal ones the one with the most exact filling.
+    """
+    return min((_plan(counts, capacity, fill) for fill in (3, 2, 1, 0)), key=lambda slots: max((s.sequence + s.count for s in slots), default=0))
+
+
+def _plan(counts: dict[int, int], capacity: int, fill: int) -> list[Slot]:
+    """fill: up to so many lengths fill a gap exactly, before best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -60,9 +70,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
             if left[longest]:
                 take((longest,), int(left[longest]))
             continue
-        if left[longest] and gap <= longest and (n := most((longest, gap))):
+        if fill >= 1 and left[longest] and gap <= longest and (n := most((longest, gap))):
             take((longest, gap), n)
-        if left[longest]:
+        if fill >= 2 and left[longest]:
             there = np.flatnonzero(left[: min(gap, longest + 1)])
             for a in there[2 * there >= gap][::-1].tolist():  # pairs a >= b with a + b == gap
                 b = gap - a
@@ -70,7 +80,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
                     take((longest, a, b), n)
                     if not left[longest]:
                         break
-        if left[longest]:
+        if fill >= 3 and left[longest]:
             there = np.flatnonzero(left[: min(gap, longest + 1)])
             for a in there[3 * there >= gap][::-1].tolist():  # triples a >= b >= c
                 rest = gap - a
