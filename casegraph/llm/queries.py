@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, quality, simhash, token_files
+from . import bpe, fingerprints, lm_scores, packing, paragraph_dedup, quality, simhash, token_counts, token_files
 from .workspace import Workspace, documents
 
 
@@ -42,6 +42,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.scores(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.duplicate_paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-files").root
     token_files.write(documents(spark, sf_dir).select("doc_id", "text"), folder, end_id=0)
@@ -58,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
