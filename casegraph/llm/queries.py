@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lm_scores, packing, paragraph_dedup, quality, simhash, token_counts, token_files
+from . import bpe, fingerprints, lm_scores, packing, paragraph_dedup, quality, simhash, suffix_dedup, token_counts, token_files
 from .workspace import Workspace, documents
 
 
@@ -42,6 +42,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(documents(spark, sf_dir).select("doc_id", "text"), digests_only=True)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
     "op8_paragraph_dedup": op8_paragraph_dedup,
