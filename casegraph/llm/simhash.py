@@ -128,18 +128,19 @@ def forest(codes: Iterable[int], others: Iterable[int] | None, radius: int) -> l
 
 
 def _linked(radius: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     unsigned = lambda xs: [x & 0xFFFFFFFFFFFFFFFF for x in xs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for codes, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kinds, a, b = [], [], []
+            for kind, codes, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x, y in forest(unsigned(codes), None if others is None else unsigned(others), radius):
+                    kinds.append(kind)
                     a.append(signed(x))
                     b.append(signed(y))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
@@ -160,32 +161,36 @@ def shard_keys(code: Column, radius: int, agree: int) -> Column:
 
 
 def links(codes: DataFrame, radius: int, work: Workspace, shard: int = SHARD) -> DataFrame:
-    """codes has one column "code" of distinct longs. Links (a, b) that span every component at that radius."""
-    n = codes.count()
+    """codes: distinct rows of kind (int; only codes of one kind are compared) and code (long).
+
+    Links (kind, a, b) that span every component at that radius.
+    """
+    n = max((r["count"] for r in codes.groupBy("kind").count().collect()), default=0)
     # so many agreeing blocks that a shard of unrelated codes has a few members; more blocks only mean more shards
     agree = next((k for k in (2, 3, 4) if n < 4 << (64 * k // (radius + k))), 4)
-    rows = codes.select(F.explode(shard_keys(F.col("code"), radius, agree)).alias("key"), "code")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = work.table(rows.join(sizes, "key"), "shards")
-    small = shared.where(F.col("members") <= shard).groupBy("key").agg(F.collect_list("code").alias("codes")).select("codes", F.lit(None).cast("array<bigint>").alias("others"))
+    rows = codes.select("kind", F.explode(shard_keys(F.col("code"), radius, agree)).alias("key"), "code")
+    sizes = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = work.table(rows.join(sizes, ["kind", "key"]), "shards")
+    none = F.lit(None).cast("array<bigint>")
+    small = shared.where(F.col("members") <= shard).groupBy("kind", "key").agg(F.collect_list("code").alias("codes")).select("kind", "codes", none.alias("others"))
     chunks = F.ceil(F.col("members") / (shard // 2)).cast("int")
     large = (
         shared.where(F.col("members") > shard)
         .withColumn("own", F.pmod(F.xxhash64("code"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .groupBy("key", "low", "high")
+        .groupBy("kind", "key", "low", "high")
         .agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("own") > F.col("low"), F.col("code"))).alias("others"))
-        .select("codes", F.when(F.col("low") < F.col("high"), F.col("others")).alias("others"))
+        .select("kind", "codes", F.when(F.col("low") < F.col("high"), F.col("others")).alias("others"))
     )
-    found = small.unionByName(large).repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "a bigint, b bigint")
+    found = small.unionByName(large).repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "kind int, a bigint, b bigint")
     return work.table(found.distinct(), "near")
 
 
 def classes(coded: DataFrame, radius: int, work: Workspace) -> DataFrame:
     """coded has columns "code" and "key" (repeats allowed); gives code, component_id (the least key of its component), a row a distinct code."""
     codes = work.table(coded.groupBy("code").agg(F.min("key").alias("least")), "codes")
-    joined = components(links(codes.select("code"), radius, work), work)
+    joined = components(links(codes.select(F.lit(0).alias("kind"), "code"), radius, work).select("a", "b"), work)
     named = codes.join(joined.withColumnRenamed("node", "code"), "code", "left").select("code", "least", F.coalesce("component", "code").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(heads, "component").select("code", "component_id")
@@ -196,3 +201,118 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     work = Workspace(docs.sparkSession, "simhash")
     coded = work.table(docs.select(F.col(key).alias("key"), simhash(F.col(text), words).alias("code")), "coded")
     return coded.join(classes(coded, radius, work), "code").select(F.col("key").alias(key), "code", "component_id")
+
+
+def word_codes(text: Column, seeds: int) -> Column:
+    """array<long>: SimHashes of a text's distinct words, one a seed."""
+
+    @F.pandas_udf("array<bigint>")
+    def of_texts(texts: pd.Series) -> pd.Series:
+        return pd.Series([_word_codes(t or "", seeds) for t in texts], dtype=object)
+
+    return of_texts(text)
+
+
+def _word_codes(text: str, seeds: int) -> np.ndarray:
+    words = set(text.encode().lower().split()) or {b""}
+    codes = []
+    for seed in range(SEED, SEED + seeds):
+        hashed = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        ones = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        codes.append(int.from_bytes(np.packbits(2 * ones > len(words), bitorder="little").tobytes(), "little", signed=True))
+    return np.array(codes, np.int64)
+
+
+def _shingles(text: str, words: int) -> frozenset:
+    found = text.encode().lower().split()
+    return frozenset(xxhash.xxh3_64_intdigest(b" ".join(found[i : i + words])) for i in range(max(1, len(found) - words + 1)))
+
+
+def _similar(threshold: float, words: int, radius: int):
+    """Links of a chunk of texts, or between two, by exact Jaccard index; a spanning forest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                members = [*row["first"], *(row["second"] or [])]
+                codes = np.array([m["codes"] for m in members], np.int64).view(np.uint64)
+                sets = [_shingles(m["text"], words) for m in members]
+                sizes = np.array([len(s) for s in sets])
+                parent = list(range(len(members)))
+
+                def top(x: int, parent: list = parent) -> int:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                cut = len(row["first"])
+                for x in range(cut):
+                    start = x + 1 if row["second"] is None else cut
+                    near = np.bitwise_count(codes[start:] ^ codes[x]).min(axis=1) <= radius
+                    near &= np.minimum(sizes[start:], sizes[x]) >= threshold * np.maximum(sizes[start:], sizes[x])
+                    for y in (start + np.flatnonzero(near)).tolist():
+                        p, q = top(x), top(y)
+                        if p != q:
+                            both = len(sets[x] & sets[y])
+                            if both >= threshold * (sizes[x] + sizes[y] - both):
+                                parent[q] = p
+                                a.append(members[x]["id"])
+                                b.append(members[y]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return run
+
+
+#: For texts at a similarity of 0.8: the SimHashes of distinct words, how many, and the radius of each.
+SEEDS, RADIUS = 6, 4
+CHUNK = 512
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """docs without copies and near copies: of each group the row of the least key (null keys last) stays, whole.
+
+    Texts are linked if their sets of word shingles have a Jaccard index of threshold or more. A SimHash of such
+    shingles is far off at 0.8 (ten bits and more), too far for any radius that shards can serve; one of the distinct
+    words is near, so candidates come from several of those (about a third of the pairs at 0.8 lie beyond the radius
+    in one, under one in a hundred in all six). Candidates' components are then compared text by text, in chunks, by
+    the exact index, and only such links decide.
+
+    Edge cases: null and empty texts are equal texts, and one of them stays; so does one of repeated rows.
+    """
+    work = Workspace(docs.sparkSession, "near-texts")
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    coded = work.table(docs.select(F.md5(whole).alias("id"), F.col(f"`{key}`").alias("key"), word_codes(whole, seeds).alias("codes")), "coded")
+    first = F.min(F.struct(F.col("key").isNull().alias("missing"), F.col("key").alias("key"))).alias("least")
+    texts = work.table(coded.groupBy("id").agg(F.first("codes").alias("codes"), first), "texts")
+    each = texts.select("id", F.posexplode("codes").alias("kind", "code"))
+    heads = work.table(each.groupBy("kind", "code").agg(F.min("id").alias("head")), "heads")
+    near = links(heads.select("kind", "code"), radius, work)
+    same = each.join(heads, ["kind", "code"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    head_of = lambda end: heads.select("kind", F.col("code").alias(end), F.col("head").alias(f"head_{end}"))
+    across = near.join(head_of("a"), ["kind", "a"]).join(head_of("b"), ["kind", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    groups = components(same.union(across), work)
+    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    chunks = F.ceil(F.col("members") / chunk).cast("int")
+    member = F.struct("id", "codes", "text")
+    bodies = docs.select(F.md5(whole).alias("id"), whole.alias("text")).join(sized.withColumnRenamed("node", "id"), "id").groupBy("id", "component", "members").agg(F.min("text").alias("text"))
+    pairs = (
+        bodies.join(texts.select("id", "codes"), "id")
+        .withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        .groupBy("component", "low", "high")
+        .agg(F.collect_list(F.when(F.col("own") == F.col("low"), member)).alias("first"), F.collect_list(F.when(F.col("own") > F.col("low"), member)).alias("second"))
+        .select("first", F.when(F.col("low") < F.col("high"), F.col("second")).alias("second"))
+    )
+    linked = work.table(pairs.mapInArrow(_similar(threshold, words, radius), "a string, b string").distinct(), "linked")
+    classes_ = components(linked, work).withColumnRenamed("node", "id")
+    named = texts.select("id", "least").join(classes_, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stay = named.groupBy("component").agg(F.min_by("id", F.struct("least", "id")).alias("id")).select("id")
+    # of a text's copies the first row stays: whole rows are compared, before the shuffle and after it
+    mine = [c for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(mine)])
+    order = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"))
+    kept = docs.select(F.md5(whole).alias("id"), row.alias("row"), order.alias("order")).join(stay, "id", "left_semi").groupBy("id").agg(F.min_by("row", "order").alias("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(mine)])
