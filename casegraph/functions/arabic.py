@@ -1,17 +1,9 @@
-"""Arabic text that a PDF stores in the order in which it is drawn, put back into reading order.
-
-Scoring and detection are column expressions. Reversing runs of Latin letters within a reversed line needs a
-replacement for each match, which SQL lacks: that step is a pandas UDF, and only suspect texts reach it.
-"""
+"""Arabic text that a PDF stores in the order in which it is drawn, put back into reading order."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LETTER = "[ء-يٱ-ۓ]"
 WORD = "[ء-يٱ-ۓً-ٰٟ]{2,}"
@@ -46,19 +38,15 @@ def drawn(line: Column) -> Column:
     return (s["visual"] >= 1) & (s["visual"] > s["logical"])
 
 
-def reading_order(text: Column) -> Column:
-    """text with every line in drawing order reversed, Latin runs kept; other lines and texts are unchanged.
+def read_back(line: Column) -> Column:
+    """The line reversed, with every run of Latin letters and digits in its own order."""
+    turned = F.reverse(line)
+    runs = F.regexp_extract_all(turned, F.lit(LATIN_RUN), F.lit(0))
+    between = F.split(turned, LATIN_RUN, -1)
+    return F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.reverse(F.get(runs, i)), F.lit("")))), "")
 
-    Lines are told apart in SQL; one marked text a row goes through the UDF, the others do not.
-    """
-    suspect = F.coalesce(text.rlike(LETTER), F.lit(False))
-    lines = F.split(text, "\n")
-    flags = F.transform(lines, drawn)
-    return F.when(suspect & F.exists(flags, lambda f: f), _lines_read_back(lines, flags)).otherwise(text)
 
-
-@F.pandas_udf(T.StringType())
-def _lines_read_back(lines: pd.Series, flags: pd.Series) -> pd.Series:
-    run = re.compile(LATIN_RUN)
-    fix = lambda t: run.sub(lambda m: m.group(0)[::-1], t[::-1])
-    return pd.Series([None if ls is None else "\n".join(fix(t) if f else t for t, f in zip(ls, fs, strict=True)) for ls, fs in zip(lines, flags, strict=True)], dtype=object)
+def reading_order(text: Column) -> Column:
+    """text with every line in drawing order turned round; other lines and texts are unchanged."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.when(drawn(line), read_back(line)).otherwise(line))
+    return F.when(text.rlike(LETTER), F.array_join(lines, "\n")).otherwise(text)

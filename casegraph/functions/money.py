@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_digits, clean
+from .text import ascii_digits, clean, let
 
 AMOUNT = "decimal(38,6)"
 # Fields of a fact that hold amounts, in the order in which one of them stands for the fact.
@@ -34,31 +34,34 @@ def parse_amount(x: Column) -> Column:
 
     Null where the text has no number or can be read in two ways ("1.000"). Hyphens within digits are dropped.
     """
-    text = F.translate(ascii_digits(clean(x)), "٬٫ ", ",. ")
-    shown = F.trim(text)
-    figures = F.trim(F.regexp_replace(text, r"[^0-9,.\- ]", ""))
-    negative = (shown.startswith("(") & shown.endswith(")")) | figures.startswith("-") | figures.endswith("-")
-    plain = F.trim(F.replace(figures, F.lit("-"), F.lit("")))
-    spaced = plain.rlike(r"[0-9]\s+[0-9]")
-    joined = F.when(spaced & ~plain.rlike(r"^[0-9]{1,3}( [0-9]{3})+([.,][0-9]+)?$"), F.lit(None)).otherwise(F.replace(plain, F.lit(" "), F.lit("")))
-    without = lambda sep: F.replace(joined, F.lit(sep), F.lit(""))
-    forms = [
-        (r"^[0-9]+$", joined),
-        (r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]+$", without(",")),  # commas group, a point ends
-        (r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]+$", F.replace(without("."), F.lit(","), F.lit("."))),
-    ]
-    commas, points = F.regexp_count(joined, F.lit(",")), F.regexp_count(joined, F.lit(r"\."))
-    both = (commas > 0) & (points > 0)
-    one = (
-        F.when((commas > 1) | (points > 1), F.when(joined.rlike(r"^[0-9]{1,3}([.,][0-9]{3})+$") , F.regexp_replace(joined, "[.,]", "")))
-        .when(joined.rlike(r"^[0-9]+,[0-9]{3}$"), without(","))
-        .when(joined.rlike(r"^[0-9]+\.[0-9]{3}$"), F.lit(None))
-        .when(joined.rlike(r"^[0-9]+[.,][0-9]+$"), F.replace(joined, F.lit(","), F.lit(".")))
-    )
-    mixed = F.when(joined.rlike(forms[1][0]), forms[1][1]).when(joined.rlike(forms[2][0]), forms[2][1])
-    number = F.when(joined.rlike(forms[0][0]), joined).when(both, mixed).otherwise(one)
-    value = number.try_cast(AMOUNT)
-    return F.when(negative, -value).otherwise(value).cast(AMOUNT)
+    text = F.translate(ascii_digits(clean(x)), "٬٫\u00a0", ",. ")
+
+    def signed(shown: Column) -> Column:
+        figures = F.trim(F.regexp_replace(shown, r"[^0-9,.\- ]", ""))
+        negative = lambda f: (F.trim(shown).startswith("(") & F.trim(shown).endswith(")")) | f.startswith("-") | f.endswith("-")
+        return let(figures, lambda f: let(_plain_number(F.trim(F.replace(f, F.lit("-"), F.lit("")))), lambda v: F.when(negative(f), -v).otherwise(v)))
+
+    return F.when(x.isNotNull(), let(text, signed)).cast(AMOUNT)
+
+
+def _plain_number(figures: Column) -> Column:
+    """The value of digits with separators and blanks, by the form of the whole."""
+    drop = lambda c, sep: F.replace(c, F.lit(sep), F.lit(""))
+    spaced = figures.rlike(r"[0-9]\s+[0-9]")
+    joined = F.when(spaced & ~figures.rlike(r"^[0-9]{1,3}( [0-9]{3})+([.,][0-9]+)?$"), F.lit(None)).otherwise(drop(figures, " "))
+
+    def read(n: Column) -> Column:
+        return (
+            F.when(n.rlike(r"^[0-9]+$"), n)
+            .when(n.rlike(r"^[0-9]+,[0-9]{3}$"), drop(n, ","))  # a single comma before three digits groups
+            .when(n.rlike(r"^[0-9]+\.[0-9]{3}$"), F.lit(None))  # a single point there may group or end: not read
+            .when(n.rlike(r"^[0-9]+[.,][0-9]+$"), F.replace(n, F.lit(","), F.lit(".")))
+            .when(n.rlike(r"^[0-9]{1,3}((,[0-9]{3}){2,}|(\.[0-9]{3}){2,})$"), F.regexp_replace(n, "[.,]", ""))
+            .when(n.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]+$"), drop(n, ","))
+            .when(n.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]+$"), F.replace(drop(n, "."), F.lit(","), F.lit(".")))
+        )
+
+    return let(joined, lambda n: read(n).try_cast(AMOUNT))
 
 
 def format_amount(x: Column) -> Column:
@@ -103,12 +106,15 @@ def _coded(upper: Column, markers: dict[str, list[str]]) -> Column:
 
 def currency(x: Column) -> Column:
     """The code of a currency text; other countries' riyals and unknown texts stay as written, in upper case. Never a default."""
-    text = clean(x)
-    upper = F.concat(F.lit(" "), F.upper(text), F.lit(" "))
-    foreign = F.lit(False)
-    for word in FOREIGN:
-        foreign = foreign | upper.contains(word)
-    return F.when(foreign, F.upper(text)).otherwise(F.coalesce(_coded(upper, CURRENCIES), F.upper(text)))
+
+    def coded(text: Column) -> Column:
+        upper = F.concat(F.lit(" "), F.upper(text), F.lit(" "))
+        foreign = F.lit(False)
+        for word in FOREIGN:
+            foreign = foreign | upper.contains(word)
+        return F.when(foreign, F.upper(text)).otherwise(F.coalesce(_coded(upper, CURRENCIES), F.upper(text)))
+
+    return F.when(x.isNotNull(), let(clean(x), coded))
 
 
 def loose_currency(x: Column, hint: Column | None = None) -> Column:

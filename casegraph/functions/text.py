@@ -16,6 +16,11 @@ def as_column(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_digits(x: Column) -> Column:
     return F.translate(x, EASTERN_DIGITS + PERSIAN_DIGITS, ASCII_DIGITS * 2)
 
@@ -23,7 +28,7 @@ def ascii_digits(x: Column) -> Column:
 def clean(x: Column) -> Column:
     """Trimmed text; null for texts that stand for no value."""
     trimmed = F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.when(~F.lower(trimmed).isin(NULL_TOKENS), trimmed)
+    return F.when(x.isNotNull(), let(trimmed, lambda t: F.when(~F.lower(t).isin(NULL_TOKENS), t)))
 
 
 def first_filled(*columns: Column) -> Column:

@@ -17,19 +17,18 @@ MAX_DEPTH = 10
 def ancestors(seeds: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """node_id, ancestor_id, depth: the walk up from each seed (node_id), ended by the depth, a missing parent or a cycle.
 
-    In a cycle the start itself may reappear once, as an ancestor. One self-join a level; levels stop as soon as no walk
-    goes on.
+    In a cycle the start itself may reappear once, as an ancestor. One left join a level on the nodes' parents, all of
+    them the same exchange; a walk that has ended joins nothing more.
     """
-    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above"))
+    kind = nodes.schema["node_id"].dataType
     there = nodes.select(F.col("node_id").alias("above"))
-    front = seeds.select("node_id", F.col("node_id").alias("at"), F.array().cast("array<string>").alias("seen"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        step = front.join(up, "at").join(there, "above", "left_semi").where(~F.array_contains("seen", F.col("above").cast("string")))
-        level = step.select("node_id", F.col("above").alias("ancestor_id"), F.lit(depth).alias("depth"), F.array_append("seen", F.col("above").cast("string")).alias("seen"))
-        found = level if found is None else found.unionByName(level)
-        front = level.select("node_id", F.col("ancestor_id").alias("at"), "seen")
-    return found.select("node_id", "ancestor_id", "depth")
+    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above")).join(there, "above", "left_semi")
+    walk = seeds.select("node_id", F.col("node_id").alias("at"), F.array().cast(f"array<{kind.simpleString()}>").alias("chain"))
+    for _ in range(max_depth):
+        on = F.col("above").isNotNull() & ~F.array_contains("chain", F.col("above"))
+        step = walk.join(up, "at", "left")
+        walk = step.select("node_id", F.when(on, F.col("above")).alias("at"), F.when(F.coalesce(on, F.lit(False)), F.array_append("chain", F.col("above"))).otherwise(F.col("chain")).alias("chain"))
+    return walk.select("node_id", F.posexplode("chain").alias("_d", "ancestor_id")).select("node_id", "ancestor_id", (F.col("_d") + 1).alias("depth"))
 
 
 def children(seeds: DataFrame, nodes: DataFrame) -> DataFrame:

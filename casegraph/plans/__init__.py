@@ -1 +1,4 @@
-"""Plans of the engine."""
+"""Queries over the driver's tables. Importing the package registers all of them."""
+
+from . import pipelines, records  # noqa: F401
+from .registry import QUERIES, SQL, table  # noqa: F401
