@@ -5,6 +5,10 @@ space folded). Equal paragraphs are one from the start. Bands of MinHash values
 threshold collides with at least RECALL; colliding paragraphs are compared by exact Jaccard index; links make
 components. In each component the first paragraph (by document, then place) stays, all others are marked removed.
 
+A passage that was put into the middle of a longer paragraph makes no paragraph like another. So sentences of at least
+SENTENCE_WORDS words are compared as well, for equality alone: so short, a changed word leaves a Jaccard index far below
+the threshold.
+
 A band's group of more than CHUNK paragraphs is cut into chunks whose pairs go to tasks of their own, and a group gives
 a spanning forest of its links, not all of them: components are the same and none is left out.
 
@@ -15,6 +19,7 @@ the first. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,9 @@ from .components import components
 from .workspace import Workspace
 
 WORDS = 5
+#: Shorter sentences are equal by chance in large tables.
+SENTENCE_WORDS = 8
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 THRESHOLD = 0.8
 RECALL = 0.99
 #: At most this share of pairs with a Jaccard index of 0.2 may collide.
@@ -56,6 +64,15 @@ def paragraphs(text: str) -> Iterator[tuple[int, list[bytes]]]:
             yield place, words
 
 
+def sentences(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(place of the line, number in it, words) of the sentences of at least SENTENCE_WORDS words."""
+    for place, line in enumerate(text.split("\n")):
+        for number, sentence in enumerate(_SENTENCE.split(line)):
+            words = sentence.encode().lower().split()
+            if len(words) >= SENTENCE_WORDS:
+                yield place, number, words
+
+
 def _key(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
@@ -105,6 +122,19 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["key", "line"])
 
 
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, place, sentence, key, n_words) from rows (doc, text)."""
+    for batch in batches:
+        at = 0
+        for texts in in_batches(batch.column(1).to_pylist(), 2_000_000):
+            found = [(i, p, n, _key(words), len(words)) for i, text in enumerate(texts, at) for p, n, words in sentences(text)]
+            at += len(texts)
+            owner, place, number, key, count = zip(*found, strict=True) if found else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(number, pa.int32()), pa.array(key, pa.int64()), pa.array(count, pa.int32())], ["doc", "place", "sentence", "key", "n_words"]
+            )
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,22 +191,22 @@ def links(marked: DataFrame, docs: DataFrame, text: str, threshold: float, work:
 
 
 def duplicate_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every paragraph that has an equal or near-duplicate one: key, paragraph (line number from 0), n_words, first_<key>, first_paragraph, removed."""
+    """Every paragraph with an equal or near-duplicate one, and every sentence with an equal one: key, paragraph (line number
+    from 0), sentence (number in the line; null for a whole paragraph), n_words, first_<key>, first_paragraph, removed."""
     work = Workspace(docs.sparkSession, "paragraphs")
     kind = docs.schema[key].dataType.simpleString()
     bands, rows = tune(threshold)
-    marked = work.table(docs.select(F.col(key).alias("doc"), text).mapInArrow(_signatures(bands, rows), f"doc {kind}, place int, key bigint, n_words int, bands array<bigint>"), "marked")
+    source = docs.select(F.col(key).alias("doc"), text)
+    marked = work.table(source.mapInArrow(_signatures(bands, rows), f"doc {kind}, place int, key bigint, n_words int, bands array<bigint>"), "marked")
     found = components(links(marked, docs, text, threshold, work), work)
     keys = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
     named = keys.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     whole = named.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
     classes = named.select("key", "component").join(whole, "component").select("key", "first")
-    places = marked.select("doc", "place", "key", "n_words").join(classes, "key")
-    return places.select(
-        F.col("doc").alias(key),
-        F.col("place").alias("paragraph"),
-        "n_words",
-        F.col("first.doc").alias(f"first_{key}"),
-        F.col("first.place").alias("first_paragraph"),
-        (~(F.struct("doc", "place").eqNullSafe(F.col("first")))).alias("removed"),
+    places = marked.select("doc", "place", "key", "n_words").join(classes, "key").withColumn("sentence", F.lit(None).cast("int"))
+    each = work.table(source.mapInArrow(_sentences, f"doc {kind}, place int, sentence int, key bigint, n_words int"), "sentences")
+    again = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "sentence")).alias("first")).where("n > 1").select("key", "first")
+    out = lambda df, *own: df.select(
+        F.col("doc").alias(key), F.col("place").alias("paragraph"), "sentence", "n_words", F.col("first.doc").alias(f"first_{key}"), F.col("first.place").alias("first_paragraph"), (~F.struct(*own).eqNullSafe(F.col("first"))).alias("removed")
     )
+    return out(places, "doc", "place").unionByName(out(each.join(again, "key"), "doc", "place", "sentence"))
