@@ -42,7 +42,7 @@ from .workspace import Workspace
 LENGTH = 200
 GRAM = 64
 CROWD = 64
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 #: Segments that make a batch of the index.
 BATCH = 512
 
