@@ -88,7 +88,8 @@ class Block:
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_letters()[self.text] * down[:n], dtype=np.uint64, out=self.sums[1:])
             self._cut(n, gram)
-        g = self._hash(self.q, gram) if len(self.q) else np.zeros(0, np.uint64)
+        # anchors have the least hashes of their windows: mixed anew, they spread over all ranges
+        g = _mix(self._hash(self.q, gram) + _U(_BASE)) if len(self.q) else np.zeros(0, np.uint64)
         s = _mix(self._hash(self.p0, self.p1 + length - self.p0) + (self.q - self.p0).astype(np.uint64) * _U(_BASE)) if len(self.q) else g
         order = np.lexsort((s, g))
         g, s = g[order], s[order]
