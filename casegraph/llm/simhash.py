@@ -169,9 +169,12 @@ def links(codes: DataFrame, radius: int, work: Workspace, shard: int = SHARD) ->
     # so many agreeing blocks that a shard of unrelated codes has a few members; more blocks only mean more shards
     agree = next((k for k in (2, 3, 4) if n < 4 << (64 * k // (radius + k))), 4)
     rows = codes.select("kind", F.explode(shard_keys(F.col("code"), radius, agree)).alias("key"), "code")
-    sizes = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = work.table(rows.join(sizes, ["kind", "key"]), "shards")
+    # most shards of unrelated codes have one member or two: those need no join back to their members
+    counted = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"), F.min("code").alias("low"), F.max("code").alias("high"))
+    sizes = work.table(counted.where("members > 1"), "sizes")
     none = F.lit(None).cast("array<bigint>")
+    pairs = sizes.where("members = 2").select("kind", F.array("low", "high").alias("codes"), none.alias("others"))
+    shared = work.table(rows.join(sizes.where("members > 2").select("kind", "key", "members"), ["kind", "key"]), "shards")
     small = shared.where(F.col("members") <= shard).groupBy("kind", "key").agg(F.collect_list("code").alias("codes")).select("kind", "codes", none.alias("others"))
     chunks = F.ceil(F.col("members") / (shard // 2)).cast("int")
     large = (
@@ -183,7 +186,7 @@ def links(codes: DataFrame, radius: int, work: Workspace, shard: int = SHARD) ->
         .agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("own") > F.col("low"), F.col("code"))).alias("others"))
         .select("kind", "codes", F.when(F.col("low") < F.col("high"), F.col("others")).alias("others"))
     )
-    found = small.unionByName(large).repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "kind int, a bigint, b bigint")
+    found = pairs.unionByName(small).unionByName(large).repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "kind int, a bigint, b bigint")
     return work.table(found.distinct(), "near")
 
 
