@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -20,6 +21,7 @@ WORDS = 400_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts without characters that Python's own re classes differently (it is faster).
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Only such texts need the larger engine.
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]")
 _ANY = regex.compile(PATTERN)
 
@@ -62,11 +64,8 @@ class WordEncoder:
         if len(self.known) > self.most:
             self.known = {}
         split = [self._parts(t) if t else [] for t in texts]
-        known, new = self.known, {}
-        for parts in split:
-            for w in parts:
-                if w not in known:
-                    new[w] = None
+        known = self.known
+        new = dict.fromkeys(chain.from_iterable(filterfalse(known.__contains__, parts) for parts in split))
         fresh = [w for w in new if w not in self.special]
         known.update(zip(fresh, self.encode_words(fresh), strict=True))
         known.update({w: self.special[w] for w in new if w in self.special})
@@ -88,8 +87,10 @@ class LibraryEncoder(WordEncoder):
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         found: list[bytes] = []
         for at in range(0, len(words), 20_000):
-            batch = self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)
-            found += [np.array(e.ids, "<u4").tobytes() for e in batch]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+            ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            found += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return found
 
 
