@@ -17,6 +17,7 @@ stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -226,12 +227,31 @@ def _word_codes(text: str, seeds: int) -> np.ndarray:
     return np.array(codes, np.int64)
 
 
-def _shingles(text: str, words: int) -> frozenset:
+def _shingles(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; a shorter text is one shingle."""
     found = text.encode().lower().split()
-    return frozenset(xxhash.xxh3_64_intdigest(b" ".join(found[i : i + words])) for i in range(max(1, len(found) - words + 1)))
+    joined = b" ".join(found)
+    if len(found) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most: what Python holds of one is several times as large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _least_common(a, b, threshold: float):
+    """So many of a and of b shingles two texts have in common at least at that index (a float that is never too high)."""
+    return threshold / (1 + threshold) * (a + b) - 1e-6
 
 
-def _similar(threshold: float, words: int, radius: int):
+def _similar(threshold: float, words: int):
     """Links of a chunk of texts, or between two, by exact Jaccard index; a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +260,7 @@ def _similar(threshold: float, words: int, radius: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 members = [*row["first"], *(row["second"] or [])]
-                codes = np.array([m["codes"] for m in members], np.int64).view(np.uint64)
-                sets = [_shingles(m["text"], words) for m in members]
+                sets = [frozenset(_shingles(m["text"], words).tolist()) for m in members]
                 sizes = np.array([len(s) for s in sets])
                 parent = list(range(len(members)))
 
@@ -253,65 +272,193 @@ def _similar(threshold: float, words: int, radius: int):
                 cut = len(row["first"])
                 for x in range(cut):
                     start = x + 1 if row["second"] is None else cut
-                    near = np.bitwise_count(codes[start:] ^ codes[x]).min(axis=1) <= radius
-                    near &= np.minimum(sizes[start:], sizes[x]) >= threshold * np.maximum(sizes[start:], sizes[x])
+                    near = np.minimum(sizes[start:], sizes[x]) >= threshold * np.maximum(sizes[start:], sizes[x])
                     for y in (start + np.flatnonzero(near)).tolist():
                         p, q = top(x), top(y)
                         if p != q:
                             both = len(sets[x] & sets[y])
                             if both >= threshold * (sizes[x] + sizes[y] - both):
                                 parent[q] = p
-                                a.append(members[x]["id"])
-                                b.append(members[y]["id"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+                                a.append(members[x]["n"])
+                                b.append(members[y]["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _prefixes(threshold: float, words: int, frequent: np.ndarray):
+    """(n, text) -> n, size, the least shingles in the order of (frequent, hash), how many of these are rare, and counts by BINS ranges.
+
+    Of two sets at the threshold each has at least threshold * size shingles in common with the other, so the first of
+    those is among the size - ceil(threshold * size) + 1 least ones of both, in whatever order. 40 bits of each are
+    given: what agrees in them only meets once more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in _slices(batches, 256):
+            numbers, sizes, least, rare, bins = [], [], [], [], []
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n in seen:
+                    continue
+                seen.add(n)
+                numbers.append(n)
+                found = _shingles(text, words)
+                common = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found if len(frequent) else np.zeros(len(found), bool)
+                sizes.append(len(found))
+                keep = len(found) - math.ceil(threshold * len(found) - 1e-6) + 1
+                least.append((np.concatenate((found[~common], found[common]))[:keep] >> np.uint64(24)).view(np.int64))
+                rare.append(min(keep, int((~common).sum())))
+                bins.append(np.minimum(np.bincount((found & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in least])))
+            flat = np.concatenate(least) if least else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(rare, pa.int32()), pa.array(bins, pa.binary())], ["n", "size", "least", "rare", "bins"])
+
+    return run
+
+
+def _meeting(threshold: float):
+    """Pairs of a shingle's members, or of two chunks of them, that can reach the threshold and are not yet in one component.
+
+    At the first shingle that two texts have in common, all others that they have in common come after it in both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 16):
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, second in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = lambda ms: [np.array([m[k] for m in ms], np.int64) for k in ("n", "size", "left", "component")]
+                n, size, left, component = columns(first)
+                others = (n, size, left, component) if second is None else columns(second)
+                for x in range(len(n)):
+                    m, sizes, lefts, parts = (c[x + 1 :] for c in others) if second is None else others
+                    can = (parts != component[x]) & (np.minimum(lefts, left[x]) >= _least_common(sizes, size[x], threshold))
+                    a.append(np.minimum(m[can], n[x]))
+                    b.append(np.maximum(m[can], n[x]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _can_meet(threshold: float):
+    """Pairs whose counts by range allow the threshold: two sets have no more in common than the lesser counts' sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 1024):
+            a, b, size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            full = (np.minimum(one, two) == 255).any(axis=1)  # a count of 255 stands for more
+            can = full | (np.minimum(one, two).sum(axis=1, dtype=np.int64) >= _least_common(size_a.astype(np.int64), size_b, threshold))
+            yield pa.RecordBatch.from_arrays([pa.array(a[can], pa.int64()), pa.array(b[can], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _verified(threshold: float, words: int):
+    """Pairs of texts at the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 256):
+            keep = []
+            for i, (first, second) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = _shingles(first, words), _shingles(second, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-#: For texts at a similarity of 0.8: the SimHashes of distinct words, how many, and the radius of each.
+def _in_chunks(shared: DataFrame, keys: list[str], member: Column, spread: Column, chunk: int) -> DataFrame:
+    """Rows with members (their group's count): first and second, so that every pair of a group is in a row once."""
+    chunks = F.ceil(F.col("members") / chunk).cast("int")
+    return (
+        shared.withColumn("own", F.pmod(F.xxhash64(spread), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        .groupBy(*keys, "low", "high")
+        .agg(F.collect_list(F.when(F.col("own") == F.col("low"), member)).alias("first"), F.collect_list(F.when(F.col("own") > F.col("low"), member)).alias("second"))
+        .select("first", F.when(F.col("low") < F.col("high"), F.col("second")).alias("second"))
+    )
+
+
+#: The SimHashes of distinct words that find most near copies: how many, and the radius of each.
 SEEDS, RADIUS = 6, 4
 CHUNK = 512
+#: Ranges of a text's counts of shingles. One in SAMPLE texts tells which shingles are frequent; at most FREQUENT are.
+BINS, SAMPLE, FREQUENT = 256, 16, 100_000
+
+
+def meeting_pairs(texts: DataFrame, known: DataFrame, threshold: float, words: int, work: Workspace, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of texts (n, text; copies allowed) at the threshold that known (node, component) does not put together; none is lost."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 256):
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, words).view(np.int64))], ["token"])
+
+    # frequent shingles come last in the order, so few texts meet at them; which are taken for frequent changes no result
+    some = texts.where(F.pmod(F.xxhash64("n"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(shingled, "token bigint")
+    often = some.groupBy("token").count().where("count > 3").orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()["token"]
+    frequent = np.sort(often.to_numpy(np.int64).view(np.uint64))
+    sketches = work.table(texts.select("n", "text").mapInArrow(_prefixes(threshold, words, frequent), "n bigint, size int, least array<bigint>, rare int, bins binary"), "sketches")
+    known = work.table(known.withColumnRenamed("node", "n"), "known")
+    placed = sketches.select("n", "size", "least", "rare").join(known, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    rows = placed.select("n", "component", "size", "rare", F.posexplode("least").alias("place", "token"))
+    member = F.struct("n", "size", "left", "component")
+    of = lambda which: rows.where(which).select("token", "n", "component", "size", (F.col("size") - F.col("place")).alias("left"))
+    # few texts have a rare one: its texts come together in one shuffle; those of frequent ones are counted first and cut into chunks
+    few = of("place < rare").groupBy("token").agg(F.collect_list(member).alias("first")).where("size(first) > 1").select("first", F.lit(None).cast("array<struct<n:bigint,size:int,left:int,component:bigint>>").alias("second"))
+    many = of("place >= rare")
+    sizes = many.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "members")
+    chunks = _in_chunks(many.join(sizes, "token"), ["token"], member, F.col("n"), chunk)
+    met = work.table(few.union(chunks).mapInArrow(_meeting(threshold), "a bigint, b bigint").distinct(), "met")
+    sketch = lambda end: sketches.groupBy("n").agg(F.first("size").alias("size"), F.first("bins").alias("bins")).select(F.col("n").alias(end), F.col("size").alias(f"size_{end}"), F.col("bins").alias(f"bins_{end}"))
+    both = met.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
+    likely = work.table(both.mapInArrow(_can_meet(threshold), "a bigint, b bigint"), "likely")
+    work.drop(sketches)
+    ends = work.table(likely.select(F.col("a").alias("n")).union(likely.select("b")).distinct(), "ends")
+    bodies = work.table(texts.select("n", "text").join(ends, "n").groupBy("n").agg(F.min("text").alias("text")), "bodies")
+    body = lambda end: bodies.select(F.col("n").alias(end), F.col("text").alias(f"text_{end}"))
+    compared = likely.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
+    return work.table(compared.mapInArrow(_verified(threshold, words), "a bigint, b bigint"), "verified")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """docs without copies and near copies: of each group the row of the least key (null keys last) stays, whole.
 
-    Texts are linked if their sets of word shingles have a Jaccard index of threshold or more. A SimHash of such
-    shingles is far off at 0.8 (ten bits and more), too far for any radius that shards can serve; one of the distinct
-    words is near, so candidates come from several of those (about a third of the pairs at 0.8 lie beyond the radius
-    in one, under one in a hundred in all six). Candidates' components are then compared text by text, in chunks, by
-    the exact index, and only such links decide.
+    Texts are linked if their sets of word shingles have a Jaccard index of threshold or more, and every such pair is
+    found. Most come from SimHashes of the distinct words (those of such shingles are ten bits and more apart at 0.8,
+    too far for any radius that shards can serve): the components of the near ones are compared text by text, in
+    chunks, by the exact index. SimHashes lose many pairs (a passage appended or cut off, long texts); so texts of
+    different components that have one of their least shingles in common, as all pairs at the threshold have, are
+    compared as well.
 
     Edge cases: null and empty texts are equal texts, and one of them stays; so does one of repeated rows.
     """
     work = Workspace(docs.sparkSession, "near-texts")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    coded = work.table(docs.select(F.md5(whole).alias("id"), F.col(f"`{key}`").alias("key"), word_codes(whole, seeds).alias("codes")), "coded")
+    number = F.xxhash64(whole)
+    coded = work.table(docs.select(F.md5(whole).alias("id"), number.alias("n"), F.col(f"`{key}`").alias("key"), word_codes(whole, seeds).alias("codes")), "coded")
     first = F.min(F.struct(F.col("key").isNull().alias("missing"), F.col("key").alias("key"))).alias("least")
-    texts = work.table(coded.groupBy("id").agg(F.first("codes").alias("codes"), first), "texts")
-    each = texts.select("id", F.posexplode("codes").alias("kind", "code"))
-    heads = work.table(each.groupBy("kind", "code").agg(F.min("id").alias("head")), "heads")
+    texts = work.table(coded.groupBy("id", "n").agg(F.first("codes").alias("codes"), first), "texts")
+    each = texts.select("n", F.posexplode("codes").alias("kind", "code"))
+    heads = work.table(each.groupBy("kind", "code").agg(F.min("n").alias("head")), "heads")
     near = links(heads.select("kind", "code"), radius, work)
-    same = each.join(heads, ["kind", "code"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    same = each.join(heads, ["kind", "code"]).where("n <> head").select(F.col("head").alias("a"), F.col("n").alias("b"))
     head_of = lambda end: heads.select("kind", F.col("code").alias(end), F.col("head").alias(f"head_{end}"))
     across = near.join(head_of("a"), ["kind", "a"]).join(head_of("b"), ["kind", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     groups = components(same.union(across), work)
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    member = F.struct("id", "codes", "text")
-    bodies = docs.select(F.md5(whole).alias("id"), whole.alias("text")).join(sized.withColumnRenamed("node", "id"), "id").groupBy("id", "component", "members").agg(F.min("text").alias("text"))
-    pairs = (
-        bodies.join(texts.select("id", "codes"), "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .groupBy("component", "low", "high")
-        .agg(F.collect_list(F.when(F.col("own") == F.col("low"), member)).alias("first"), F.collect_list(F.when(F.col("own") > F.col("low"), member)).alias("second"))
-        .select("first", F.when(F.col("low") < F.col("high"), F.col("second")).alias("second"))
-    )
-    linked = work.table(pairs.mapInArrow(_similar(threshold, words, radius), "a string, b string").distinct(), "linked")
-    classes_ = components(linked, work).withColumnRenamed("node", "id")
-    named = texts.select("id", "least").join(classes_, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sized = work.table(groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").withColumnRenamed("node", "n"), "sized")
+    bodies = docs.select(number.alias("n"), whole.alias("text"))
+    members = bodies.join(sized, "n").groupBy("n", "component", "members").agg(F.min("text").alias("text"))
+    pairs = _in_chunks(members, ["component"], F.struct("n", "text"), F.col("n"), chunk)
+    linked = work.table(pairs.mapInArrow(_similar(threshold, words), "a bigint, b bigint").distinct(), "linked")
+    met = meeting_pairs(bodies, components(linked, work), threshold, words, work, chunk)
+    classes_ = components(linked.union(met), work).withColumnRenamed("node", "n")
+    named = texts.select("n", "id", "least").join(classes_, "n", "left").withColumn("component", F.coalesce("component", "n"))
     stay = named.groupBy("component").agg(F.min_by("id", F.struct("least", "id")).alias("id")).select("id")
     # of a text's copies the first row stays: whole rows are compared, before the shuffle and after it
     mine = [c for c in docs.columns]

@@ -110,6 +110,22 @@ def test_near_copies_in_chunks(spark):
         assert sorted(r.doc_id for r in simhash.one_of_each(df, chunk=chunk).collect()) == [0, *range(100, 110)]
 
 
+def test_appended_and_truncated_near_copies(spark):
+    """Pairs at 0.8 or more whose word sets differ much: every one is found, and none just below 0.8."""
+    rng, rows, n = np.random.default_rng(5), [], 0
+    words = lambda k, tag: [f"{tag}{w}" for w in np.minimum(rng.zipf(1.3, k), 3000)]
+    for size, more in ((300, 0.24), (300, 0.15), (1000, 0.24), (1000, 0.11), (300, 0.3)):
+        for i in range(6):
+            base = words(size, f"t{n}x")
+            extra = words(int(size * more), f"u{n}x")
+            rows += [(n, " ".join(base)), (n + 1, " ".join(base + extra if i % 2 else extra + base))]
+            n += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [r[0] for r in one_of_each(rows)]
+    assert len(rows) * 0.5 < len(want) < len(rows) * 0.7
+    assert sorted(r.doc_id for r in simhash.one_of_each(df, chunk=4).collect()) == sorted(want)
+
+
 def test_op_queries(spark, sf):
     """Every numbered query is there, covers every document and has the columns of its contract."""
     columns = {
