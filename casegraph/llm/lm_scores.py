@@ -2,14 +2,15 @@
 
 1. Documents are read into blocks of some megabytes. A block is a row: its documents as numbers of words in the block's
    own word list (compressed), so texts are read once and never shuffled.
-2. Each block's distinct n-grams (64-bit hashes, orders 1 and 2) with their counts are exploded into rows by range of
+2. Each block's distinct n-grams (64-bit hashes, orders 1 to order) with their counts are exploded into rows by range of
    hash, sorted and compressed. Partitioned by that range they make the count tables; each row is answered with the
    corpus counts of its n-grams. An n-gram comes once a block, however frequent it is, so no range is hot.
 3. Answers are joined to their blocks, and every document's scores are summed there.
 
-A document is scored by what the others say: its own n-grams are subtracted from all counts. For a word w after v the
-score is count(v w) / count(v) if count(v w) > 0, else ALPHA * count(w) / N, else (a word found nowhere else) ALPHA / N
-with N the other documents' words, at least 1; the first word has no v, and its score is count(w) / N or 1 / N.
+A document is scored by what the others say: its own n-grams are subtracted from all counts. For a word w after a
+context v of order - 1 words (fewer at a document's start) the score is count(v w) / count(v) if count(v w) > 0, else
+ALPHA times the score after v without its first word; without context it is count(w) / N, or (a word found nowhere else)
+1 / N, with N the other documents' words, at least 1.
 
 Words are runs without white space, A-Z lowered. Edge cases: a null or wordless text has 0 words and score 0. Copies of
 a text count for one another. An empty table gives an empty result. Null keys are kept.
@@ -66,14 +67,21 @@ def _counts(raw: bytes) -> np.ndarray:
 
 
 class _Block:
-    """Words of documents as numbers in the list of the block's words (hashes, ascending), and the pairs that follow."""
+    """Words of documents as numbers in the list of the block's words (hashes, ascending), and the n-grams that end at each word."""
 
-    def __init__(self, words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray):
+    def __init__(self, words: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, order: int = 1):
         self.words, self.numbers, self.lengths = words, numbers, lengths
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        after = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1 if len(numbers) else np.zeros(0, np.int64)
-        self.after = after  # places of words that follow another one of their document
-        self.pairs = _pair(words[numbers[after - 1]], words[numbers[after]])
+        within = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        #: Of orders 2 and more: places where such an n-gram ends, and its hash.
+        self.longer: list[tuple[np.ndarray, np.ndarray]] = []
+        hashed = last = words[numbers]
+        for n in range(2, order + 1):
+            ends = np.flatnonzero(within >= n - 1)
+            longer = np.zeros(len(numbers), np.uint64)
+            longer[ends] = _pair(last[ends - 1], hashed[ends])
+            self.longer.append((ends, longer[ends]))
+            last = longer
 
     @classmethod
     def of_texts(cls, texts: list[str]) -> _Block:
@@ -100,7 +108,7 @@ def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return found
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = 2, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """key, n_words, log_score (natural logarithms summed over the text's words), n_backed_off."""
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
@@ -120,11 +128,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
                 )
 
     def load(row: dict) -> _Block:
-        return _Block(_unpress(row["words"]), np.frombuffer(zlib.decompress(row["numbers"]), "<u4").astype(np.int64), np.array(row["lengths"], np.int64))
+        return _Block(_unpress(row["words"]), np.frombuffer(zlib.decompress(row["numbers"]), "<u4").astype(np.int64), np.array(row["lengths"], np.int64), order)
 
     def grams(b: _Block) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Distinct n-grams of order 1 and 2 with their counts in the block."""
-        return [(b.words, np.bincount(b.numbers, minlength=len(b.words))), np.unique(b.pairs, return_counts=True)]
+        """Distinct n-grams of each order with their counts in the block."""
+        return [(b.words, np.bincount(b.numbers, minlength=len(b.words))), *(np.unique(hashed, return_counts=True) for _, hashed in b.longer)]
 
     def edges() -> np.ndarray:
         return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
@@ -134,11 +142,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 columns: list[list] = [[], [], [], [], []]
-                for order, (hashed, counts) in enumerate(grams(load(row)), 1):
+                for size, (hashed, counts) in enumerate(grams(load(row)), 1):
                     cuts = [0, *np.searchsorted(hashed, edges()).tolist(), len(hashed)]
                     for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         if a < z:
-                            for column, value in zip(columns, (row["block"], order, part, _press(hashed[a:z]), _small(counts[a:z])), strict=True):
+                            for column, value in zip(columns, (row["block"], size, part, _press(hashed[a:z]), _small(counts[a:z])), strict=True):
                                 column.append(value)
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "gram_order", "part", "grams", "counts"])
@@ -158,21 +166,24 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = load(row)
-                got: list[list] = [[], []]
+                got: list[list] = [[] for _ in range(order)]
                 for a in sorted(row["answers"], key=lambda a: a["part"]):
                     got[a["gram_order"] - 1].append(_counts(a["totals"]))
-                words, pairs = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+                words, *totals = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
                 n = len(b.lengths)
                 others = np.maximum(total_words - b.lengths, 1)[b.doc].astype(float)
                 w = words[b.numbers] - _own(b.doc, b.numbers) if len(b.numbers) else np.zeros(0, np.int64)
                 alone = np.log(np.maximum(w, 1) / others)
                 value, backed = alone.copy(), np.zeros(len(w), np.int64)
-                if len(b.after):
-                    order = np.unique(b.pairs)
-                    both = pairs[np.searchsorted(order, b.pairs)] - _own(b.doc[b.after], b.pairs)
-                    hit = both > 0
-                    value[b.after] = np.where(hit, np.log(np.maximum(both, 1) / np.maximum(w[b.after - 1], 1)), np.log(alpha) + alone[b.after])
-                    backed[b.after] = ~hit
+                context = w
+                for (ends, hashed), total in zip(b.longer, totals, strict=True):
+                    both = np.zeros(len(w), np.int64)
+                    if len(ends):
+                        both[ends] = total[np.searchsorted(np.unique(hashed), hashed)] - _own(b.doc[ends], hashed)
+                        hit = both[ends] > 0
+                        value[ends] = np.where(hit, np.log(np.maximum(both[ends], 1) / np.maximum(context[ends - 1], 1)), np.log(alpha) + value[ends])
+                        backed[ends] = ~hit
+                    context = both
                 sums = np.bincount(b.doc, weights=value, minlength=n)
                 backs = np.bincount(b.doc, weights=backed, minlength=n).astype(np.int64)
                 keys = batch.column(batch.schema.get_field_index("keys")).slice(i, 1).flatten()

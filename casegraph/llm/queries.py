@@ -51,7 +51,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.scores(documents(spark, sf_dir).select("doc_id", "text"))
+    return lm_scores.scores(documents(spark, sf_dir).select("doc_id", "text"), order=3)
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

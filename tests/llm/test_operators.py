@@ -226,6 +226,28 @@ def test_lm_scores(spark):
     assert lm_scores.scores(no_documents(spark)).count() == 0
 
 
+def test_lm_scores_of_trigrams(spark):
+    """Backoff takes one step an order; the registered query counts trigrams."""
+    rows = odd_rows()
+    split = [(r[1] or "").encode().lower().split() for r in rows]
+    grams = lambda ws: Counter(tuple(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1))
+    mine = [grams(ws) for ws in split]
+    everyone, total, want = sum(mine, Counter()), sum(map(len, split)), []
+    for r, ws, own in zip(rows, split, mine, strict=True):
+        others = lambda g, own=own: everyone[g] - own[g]
+        score = backed = 0
+        for i in range(len(ws)):
+            top = n = min(3, i + 1)
+            while n > 1 and not others(tuple(ws[i - n + 1 : i + 1])):
+                n -= 1
+            count = max(1, others(tuple(ws[i - n + 1 : i + 1])))
+            score += (top - n) * math.log(0.4) + math.log(count / max(1, others(tuple(ws[i - n + 1 : i])) if n > 1 else total - len(ws)))
+            backed += n < top
+        want.append((r[0], len(ws), round(score, 6), backed))
+    found = lm_scores.scores(odd_documents(spark), order=3, block_chars=2000).collect()
+    same([(r.doc_id, r.n_words, round(r.log_score, 6) + 0.0, r.n_backed_off) for r in found], [(k, n, x + 0.0, b) for k, n, x, b in want])
+
+
 def test_paragraphs(spark):
     found = paragraph_dedup.duplicate_paragraphs(clashing(odd_documents(spark)))
     by = defaultdict(list)
