@@ -1,12 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints, BK-trees over shards of them, components of the links.
 
-Two fingerprints within the radius differ in few bits, so of radius + 2 (or more) blocks of bits they agree in at least
-two (or more): every choice of so many blocks is a sharding, and a shard holds the fingerprints that agree in those
-blocks. A BK-tree over a shard (children keyed by their Hamming distance to the parent) is searched along the edges
-that the radius allows. A tree for all fingerprints would have to be broadcast whole and prunes little at random
-distances; shards go to tasks by a shuffle, and one of more than SHARD members is cut into chunks whose pairs are
-searched in tasks of their own, so none is left out and none is large. A shard gives a spanning forest of its links,
-not all of them: components are the same.
+Two fingerprints within the radius differ in few bits, so of radius + k blocks of bits they agree in at least k: every
+choice of k blocks is a sharding, and a shard holds the fingerprints that agree in those blocks. A BK-tree over a shard
+(children keyed by their Hamming distance to the parent) is searched along the edges that the radius allows. A tree for
+all fingerprints would have to be broadcast whole and prunes little at random distances; shards go to tasks by a
+shuffle. k grows with the number of fingerprints, so that unrelated ones seldom meet. A shard gives a spanning forest
+of its links, not all of them: components are the same.
+
+A shard of more than SHARD members waits until the small ones have been joined up. Most of its members are then of one
+component and need no comparison among themselves; the rest are compared with all, in chunks.
 
 Only distinct fingerprints are compared; copies join their fingerprint's component at the end.
 
@@ -36,19 +38,22 @@ SEED = 42
 SHARD = 1024
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of a text's word shingles (A-Z lowered), repeats included; a shorter text is one shingle, one without words has none."""
     found = (text or "").encode().lower().split()  # of bytes: only A-Z are lowered, only ASCII white space splits
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        hashed = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashed = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def code_of(hashed: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 1 << 16):
         octets = hashed[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -56,6 +61,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashed), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    return code_of(shingle_hashes(text, words))
+
+
 def simhash(text: Column, words: int = 4) -> Column:
     """fingerprint() as a column of signed longs."""
 
@@ -114,34 +124,35 @@ def forest(codes: Iterable[int], others: Iterable[int] | None, radius: int) -> l
             parent[x] = x = parent[parent[x]]
         return x
 
+    # members in ascending order, links from the lesser end: shards with the same members give the same links
     tree, links = BKTree(), []
-    for code in codes if others is not None else ():
+    for code in sorted(codes) if others is not None else ():
         tree.add(code)
-    for code in codes if others is None else others:
-        for near in tree.within(code, radius):
+    for code in sorted(codes if others is None else others):
+        for near in sorted(tree.within(code, radius)):
             a, b = top(near), top(code)
             if a != b:
-                parent[b] = a
-                links.append((near, code))
+                parent[max(a, b)] = min(a, b)
+                links.append((min(near, code), max(near, code)))
         if others is None:
             tree.add(code)
     return links
 
 
 def _linked(radius: int):
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     unsigned = lambda xs: [x & 0xFFFFFFFFFFFFFFFF for x in xs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, a, b = [], [], []
-            for kind, codes, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = [], []
+            for one, two in zip(*batch.columns, strict=True):  # a group at a time: as Python's numbers codes take five times the room
+                codes, others = one.as_py(), two.as_py()
                 for x, y in forest(unsigned(codes), None if others is None else unsigned(others), radius):
-                    kinds.append(kind)
                     a.append(signed(x))
                     b.append(signed(y))
-            yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
@@ -161,40 +172,53 @@ def shard_keys(code: Column, radius: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def links(codes: DataFrame, radius: int, work: Workspace, shard: int = SHARD) -> DataFrame:
-    """codes: distinct rows of kind (int; only codes of one kind are compared) and code (long).
+def agreeing(n: int, radius: int) -> int:
+    """How many blocks the members of a shard agree in: so many that of n unrelated codes one in 32 meets another by chance in a shard."""
+    return next((k for k in (2, 3, 4, 5) if n <= 1 << (64 * k // (radius + k) - 5)), 6)
+
+
+def rest_and_all(rows: DataFrame, keys: list[str], member: Column, spread: str, chunk: int) -> DataFrame:
+    """Groups (by keys) of rows with a column "component": first, second, so that every pair of different components is in a row.
 
-    Links (kind, a, b) that span every component at that radius.
+    Members of a group's largest component stand in second only; the rest stand in first and in second. Both are dealt
+    in chunks, so what a row holds is bounded, and a group of one component gives no row.
     """
-    n = max((r["count"] for r in codes.groupBy("kind").count().collect()), default=0)
-    # so many agreeing blocks that a shard of unrelated codes has a few members; more blocks only mean more shards
-    agree = next((k for k in (2, 3, 4) if n < 4 << (64 * k // (radius + k))), 4)
-    rows = codes.select("kind", F.explode(shard_keys(F.col("code"), radius, agree)).alias("key"), "code")
-    # most shards of unrelated codes have one member or two: those need no join back to their members
-    counted = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"), F.min("code").alias("low"), F.max("code").alias("high"))
+    each = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    size = each.groupBy(*keys).agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    placed = rows.join(size.where("members > most"), keys)
+    all_chunks, rest_chunks = F.ceil(F.col("members") / chunk).cast("int"), F.ceil((F.col("members") - F.col("most")) / chunk).cast("int")
+    own = lambda chunks: F.pmod(F.xxhash64(spread), chunks).cast("int")
+    seconds = placed.select(*keys, F.explode(F.sequence(F.lit(0), rest_chunks - 1)).alias("i"), own(all_chunks).alias("j"), F.lit(None).alias("first"), member.alias("second"))
+    firsts = placed.where("component <> largest").select(*keys, own(rest_chunks).alias("i"), F.explode(F.sequence(F.lit(0), all_chunks - 1)).alias("j"), member.alias("first"), F.lit(None).alias("second"))
+    return seconds.union(firsts).groupBy(*keys, "i", "j").agg(F.collect_list("first").alias("first"), F.collect_list("second").alias("second")).select("first", "second")
+
+
+def links(codes: DataFrame, radius: int, work: Workspace, shard: int = SHARD) -> DataFrame:
+    """codes: distinct rows of code (long). Links (a, b) within the radius that span every component."""
+    rows = codes.select(F.explode(shard_keys(F.col("code"), radius, agreeing(codes.count(), radius))).alias("key"), "code")
+    # most shards of unrelated codes have one member; those of two need no join back to their members
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("code").alias("low"), F.max("code").alias("high"))
     sizes = work.table(counted.where("members > 1"), "sizes")
     none = F.lit(None).cast("array<bigint>")
-    pairs = sizes.where("members = 2").select("kind", F.array("low", "high").alias("codes"), none.alias("others"))
-    shared = work.table(rows.join(sizes.where("members > 2").select("kind", "key", "members"), ["kind", "key"]), "shards")
-    small = shared.where(F.col("members") <= shard).groupBy("kind", "key").agg(F.collect_list("code").alias("codes")).select("kind", "codes", none.alias("others"))
-    chunks = F.ceil(F.col("members") / (shard // 2)).cast("int")
-    large = (
-        shared.where(F.col("members") > shard)
-        .withColumn("own", F.pmod(F.xxhash64("code"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .groupBy("kind", "key", "low", "high")
-        .agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("own") > F.col("low"), F.col("code"))).alias("others"))
-        .select("kind", "codes", F.when(F.col("low") < F.col("high"), F.col("others")).alias("others"))
-    )
-    found = pairs.unionByName(small).unionByName(large).repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "kind int, a bigint, b bigint")
-    return work.table(found.distinct(), "near")
+    near = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= radius
+    pairs = sizes.where((F.col("members") == 2) & near).select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b"))
+    shared = work.table(rows.join(sizes.where("members > 2").select("key", "members"), "key"), "shards")
+    small = shared.where(F.col("members") <= shard).groupBy("key").agg(F.collect_list("code").alias("codes")).select("codes", none.alias("others"))
+    found = lambda groups: groups.repartition(F.xxhash64("codes", "others")).mapInArrow(_linked(radius), "a bigint, b bigint")
+    near = work.table(pairs.union(found(small)).distinct(), "near")
+    large = shared.where(F.col("members") > shard)
+    if large.isEmpty():
+        return near
+    known = components(near, work).withColumnRenamed("node", "code")
+    placed = large.select("key", "code").join(known, "code", "left").withColumn("component", F.coalesce("component", "code"))
+    groups = rest_and_all(placed, ["key"], F.col("code"), "code", shard).select(F.col("first").alias("codes"), F.col("second").alias("others"))
+    return near.union(work.table(found(groups).distinct(), "near"))
 
 
 def classes(coded: DataFrame, radius: int, work: Workspace) -> DataFrame:
     """coded has columns "code" and "key" (repeats allowed); gives code, component_id (the least key of its component), a row a distinct code."""
     codes = work.table(coded.groupBy("code").agg(F.min("key").alias("least")), "codes")
-    joined = components(links(codes.select(F.lit(0).alias("kind"), "code"), radius, work).select("a", "b"), work)
+    joined = components(links(codes.select("code"), radius, work), work)
     named = codes.join(joined.withColumnRenamed("node", "code"), "code", "left").select("code", "least", F.coalesce("component", "code").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(heads, "component").select("code", "component_id")
@@ -205,264 +229,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     work = Workspace(docs.sparkSession, "simhash")
     coded = work.table(docs.select(F.col(key).alias("key"), simhash(F.col(text), words).alias("code")), "coded")
     return coded.join(classes(coded, radius, work), "code").select(F.col("key").alias(key), "code", "component_id")
-
-
-def word_codes(text: Column, seeds: int) -> Column:
-    """array<long>: SimHashes of a text's distinct words, one a seed."""
-
-    @F.pandas_udf("array<bigint>")
-    def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([_word_codes(t or "", seeds) for t in texts], dtype=object)
-
-    return of_texts(text)
-
-
-def _word_codes(text: str, seeds: int) -> np.ndarray:
-    words = set(text.encode().lower().split()) or {b""}
-    codes = []
-    for seed in range(SEED, SEED + seeds):
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        ones = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        codes.append(int.from_bytes(np.packbits(2 * ones > len(words), bitorder="little").tobytes(), "little", signed=True))
-    return np.array(codes, np.int64)
-
-
-def _shingles(text: str, words: int) -> np.ndarray:
-    """Distinct hashes of a text's word shingles, ascending; a shorter text is one shingle."""
-    found = text.encode().lower().split()
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows at most: what Python holds of one is several times as large."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def _least_common(a, b, threshold: float):
-    """So many of a and of b shingles two texts have in common at least at that index (a float that is never too high)."""
-    return threshold / (1 + threshold) * (a + b) - 1e-6
-
-
-def _similar(threshold: float, words: int):
-    """Links of a chunk of texts, or between two, by exact Jaccard index; a spanning forest of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                members = [*row["first"], *(row["second"] or [])]
-                sets = [frozenset(_shingles(m["text"], words).tolist()) for m in members]
-                sizes = np.array([len(s) for s in sets])
-                parent = list(range(len(members)))
-
-                def top(x: int, parent: list = parent) -> int:
-                    while parent[x] != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
-                cut = len(row["first"])
-                for x in range(cut):
-                    start = x + 1 if row["second"] is None else cut
-                    near = np.minimum(sizes[start:], sizes[x]) >= threshold * np.maximum(sizes[start:], sizes[x])
-                    for y in (start + np.flatnonzero(near)).tolist():
-                        p, q = top(x), top(y)
-                        if p != q:
-                            both = len(sets[x] & sets[y])
-                            if both >= threshold * (sizes[x] + sizes[y] - both):
-                                parent[q] = p
-                                a.append(members[x]["n"])
-                                b.append(members[y]["n"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _prefixes(threshold: float, words: int, frequent: np.ndarray):
-    """(n, text) -> n, size, the least shingles in the order of (frequent, hash), how many of these are rare, and counts by BINS ranges.
-
-    Of two sets at the threshold each has at least threshold * size shingles in common with the other, so the first of
-    those is among the size - ceil(threshold * size) + 1 least ones of both, in whatever order. 40 bits of each are
-    given: what agrees in them only meets once more.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in _slices(batches, 256):
-            numbers, sizes, least, rare, bins = [], [], [], [], []
-            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if n in seen:
-                    continue
-                seen.add(n)
-                numbers.append(n)
-                found = _shingles(text, words)
-                common = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found if len(frequent) else np.zeros(len(found), bool)
-                sizes.append(len(found))
-                keep = len(found) - math.ceil(threshold * len(found) - 1e-6) + 1
-                least.append((np.concatenate((found[~common], found[common]))[:keep] >> np.uint64(24)).view(np.int64))
-                rare.append(min(keep, int((~common).sum())))
-                bins.append(np.minimum(np.bincount((found & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in least])))
-            flat = np.concatenate(least) if least else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(rare, pa.int32()), pa.array(bins, pa.binary())], ["n", "size", "least", "rare", "bins"])
-
-    return run
-
-
-def _meeting(threshold: float):
-    """Pairs of a shingle's members, or of two chunks of them, that can reach the threshold and are not yet in one component.
-
-    At the first shingle that two texts have in common, all others that they have in common come after it in both.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 16):
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for first, second in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                columns = lambda ms: [np.array([m[k] for m in ms], np.int64) for k in ("n", "size", "left", "component")]
-                n, size, left, component = columns(first)
-                others = (n, size, left, component) if second is None else columns(second)
-                for x in range(len(n)):
-                    m, sizes, lefts, parts = (c[x + 1 :] for c in others) if second is None else others
-                    can = (parts != component[x]) & (np.minimum(lefts, left[x]) >= _least_common(sizes, size[x], threshold))
-                    a.append(np.minimum(m[can], n[x]))
-                    b.append(np.maximum(m[can], n[x]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return run
-
-
-def _can_meet(threshold: float):
-    """Pairs whose counts by range allow the threshold: two sets have no more in common than the lesser counts' sum."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 1024):
-            a, b, size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            full = (np.minimum(one, two) == 255).any(axis=1)  # a count of 255 stands for more
-            can = full | (np.minimum(one, two).sum(axis=1, dtype=np.int64) >= _least_common(size_a.astype(np.int64), size_b, threshold))
-            yield pa.RecordBatch.from_arrays([pa.array(a[can], pa.int64()), pa.array(b[can], pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _verified(threshold: float, words: int):
-    """Pairs of texts at the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 256):
-            keep = []
-            for i, (first, second) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = _shingles(first, words), _shingles(second, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= threshold * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
-def _in_chunks(shared: DataFrame, keys: list[str], member: Column, spread: Column, chunk: int) -> DataFrame:
-    """Rows with members (their group's count): first and second, so that every pair of a group is in a row once."""
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    return (
-        shared.withColumn("own", F.pmod(F.xxhash64(spread), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .groupBy(*keys, "low", "high")
-        .agg(F.collect_list(F.when(F.col("own") == F.col("low"), member)).alias("first"), F.collect_list(F.when(F.col("own") > F.col("low"), member)).alias("second"))
-        .select("first", F.when(F.col("low") < F.col("high"), F.col("second")).alias("second"))
-    )
-
-
-#: The SimHashes of distinct words that find most near copies: how many, and the radius of each.
-SEEDS, RADIUS = 6, 4
-CHUNK = 512
-#: Ranges of a text's counts of shingles. One in SAMPLE texts tells which shingles are frequent; at most FREQUENT are.
-BINS, SAMPLE, FREQUENT = 256, 16, 100_000
-
-
-def meeting_pairs(texts: DataFrame, known: DataFrame, threshold: float, words: int, work: Workspace, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of texts (n, text; copies allowed) at the threshold that known (node, component) does not put together; none is lost."""
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 256):
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, words).view(np.int64))], ["token"])
-
-    # frequent shingles come last in the order, so few texts meet at them; which are taken for frequent changes no result
-    some = texts.where(F.pmod(F.xxhash64("n"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(shingled, "token bigint")
-    often = some.groupBy("token").count().where("count > 3").orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()["token"]
-    frequent = np.sort(often.to_numpy(np.int64).view(np.uint64))
-    sketches = work.table(texts.select("n", "text").mapInArrow(_prefixes(threshold, words, frequent), "n bigint, size int, least array<bigint>, rare int, bins binary"), "sketches")
-    known = work.table(known.withColumnRenamed("node", "n"), "known")
-    placed = sketches.select("n", "size", "least", "rare").join(known, "n", "left").withColumn("component", F.coalesce("component", "n"))
-    rows = placed.select("n", "component", "size", "rare", F.posexplode("least").alias("place", "token"))
-    member = F.struct("n", "size", "left", "component")
-    of = lambda which: rows.where(which).select("token", "n", "component", "size", (F.col("size") - F.col("place")).alias("left"))
-    # few texts have a rare one: its texts come together in one shuffle; those of frequent ones are counted first and cut into chunks
-    few = of("place < rare").groupBy("token").agg(F.collect_list(member).alias("first")).where("size(first) > 1").select("first", F.lit(None).cast("array<struct<n:bigint,size:int,left:int,component:bigint>>").alias("second"))
-    many = of("place >= rare")
-    sizes = many.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "members")
-    chunks = _in_chunks(many.join(sizes, "token"), ["token"], member, F.col("n"), chunk)
-    met = work.table(few.union(chunks).mapInArrow(_meeting(threshold), "a bigint, b bigint").distinct(), "met")
-    sketch = lambda end: sketches.groupBy("n").agg(F.first("size").alias("size"), F.first("bins").alias("bins")).select(F.col("n").alias(end), F.col("size").alias(f"size_{end}"), F.col("bins").alias(f"bins_{end}"))
-    both = met.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
-    likely = work.table(both.mapInArrow(_can_meet(threshold), "a bigint, b bigint"), "likely")
-    work.drop(sketches)
-    ends = work.table(likely.select(F.col("a").alias("n")).union(likely.select("b")).distinct(), "ends")
-    bodies = work.table(texts.select("n", "text").join(ends, "n").groupBy("n").agg(F.min("text").alias("text")), "bodies")
-    body = lambda end: bodies.select(F.col("n").alias(end), F.col("text").alias(f"text_{end}"))
-    compared = likely.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
-    return work.table(compared.mapInArrow(_verified(threshold, words), "a bigint, b bigint"), "verified")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """docs without copies and near copies: of each group the row of the least key (null keys last) stays, whole.
-
-    Texts are linked if their sets of word shingles have a Jaccard index of threshold or more, and every such pair is
-    found. Most come from SimHashes of the distinct words (those of such shingles are ten bits and more apart at 0.8,
-    too far for any radius that shards can serve): the components of the near ones are compared text by text, in
-    chunks, by the exact index. SimHashes lose many pairs (a passage appended or cut off, long texts); so texts of
-    different components that have one of their least shingles in common, as all pairs at the threshold have, are
-    compared as well.
-
-    Edge cases: null and empty texts are equal texts, and one of them stays; so does one of repeated rows.
-    """
-    work = Workspace(docs.sparkSession, "near-texts")
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    number = F.xxhash64(whole)
-    coded = work.table(docs.select(F.md5(whole).alias("id"), number.alias("n"), F.col(f"`{key}`").alias("key"), word_codes(whole, seeds).alias("codes")), "coded")
-    first = F.min(F.struct(F.col("key").isNull().alias("missing"), F.col("key").alias("key"))).alias("least")
-    texts = work.table(coded.groupBy("id", "n").agg(F.first("codes").alias("codes"), first), "texts")
-    each = texts.select("n", F.posexplode("codes").alias("kind", "code"))
-    heads = work.table(each.groupBy("kind", "code").agg(F.min("n").alias("head")), "heads")
-    near = links(heads.select("kind", "code"), radius, work)
-    same = each.join(heads, ["kind", "code"]).where("n <> head").select(F.col("head").alias("a"), F.col("n").alias("b"))
-    head_of = lambda end: heads.select("kind", F.col("code").alias(end), F.col("head").alias(f"head_{end}"))
-    across = near.join(head_of("a"), ["kind", "a"]).join(head_of("b"), ["kind", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    groups = components(same.union(across), work)
-    sized = work.table(groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").withColumnRenamed("node", "n"), "sized")
-    bodies = docs.select(number.alias("n"), whole.alias("text"))
-    members = bodies.join(sized, "n").groupBy("n", "component", "members").agg(F.min("text").alias("text"))
-    pairs = _in_chunks(members, ["component"], F.struct("n", "text"), F.col("n"), chunk)
-    linked = work.table(pairs.mapInArrow(_similar(threshold, words), "a bigint, b bigint").distinct(), "linked")
-    met = meeting_pairs(bodies, components(linked, work), threshold, words, work, chunk)
-    classes_ = components(linked.union(met), work).withColumnRenamed("node", "n")
-    named = texts.select("n", "id", "least").join(classes_, "n", "left").withColumn("component", F.coalesce("component", "n"))
-    stay = named.groupBy("component").agg(F.min_by("id", F.struct("least", "id")).alias("id")).select("id")
-    # of a text's copies the first row stays: whole rows are compared, before the shuffle and after it
-    mine = [c for c in docs.columns]
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(mine)])
-    order = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"))
-    kept = docs.select(F.md5(whole).alias("id"), row.alias("row"), order.alias("order")).join(stay, "id", "left_semi").groupBy("id").agg(F.min_by("row", "order").alias("row"))
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(mine)])

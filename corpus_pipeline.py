@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import packing, quality, simhash, suffix_dedup
+from casegraph.llm import near_texts, packing, quality, suffix_dedup
 from casegraph.llm.workspace import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (five-word shingles, similarity of 0.8 or more)."""
-    return simhash.one_of_each(docs)
+    return near_texts.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,7 +342,7 @@ def test_bk_tree_and_large_shards(spark):
         tree.add(c)
     for q in codes[::37]:
         assert set(tree.within(q, 4)) == {c for c in codes if (c ^ q).bit_count() <= 4}
-    df = spark.createDataFrame([(0, c - (1 << 64) if c >> 63 else c) for c in set(codes)], "kind int, code long")
+    df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in set(codes)], "code long")
 
     def parts(shard):
         links = [(r.a, r.b) for r in simhash.links(df, 4, Workspace(spark, "test"), shard).collect()]

@@ -8,7 +8,7 @@ import numpy as np
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from casegraph.llm import bpe, packing, simhash
+from casegraph.llm import bpe, near_texts, packing
 from pyspark.sql import functions as F
 
 from .helpers import clashing, no_documents, odd_documents, odd_rows, same
@@ -107,7 +107,7 @@ def test_near_copies_in_chunks(spark):
     rows += [(100 + i, " ".join(f"v{i}x{j}" for j in range(60))) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for chunk in (4, 512):
-        assert sorted(r.doc_id for r in simhash.one_of_each(df, chunk=chunk).collect()) == [0, *range(100, 110)]
+        assert sorted(r.doc_id for r in near_texts.one_of_each(df, chunk=chunk).collect()) == [0, *range(100, 110)]
 
 
 def test_appended_and_truncated_near_copies(spark):
@@ -123,7 +123,7 @@ def test_appended_and_truncated_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [r[0] for r in one_of_each(rows)]
     assert len(rows) * 0.5 < len(want) < len(rows) * 0.7
-    assert sorted(r.doc_id for r in simhash.one_of_each(df, chunk=4).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in near_texts.one_of_each(df, chunk=4).collect()) == sorted(want)
 
 
 def test_op_queries(spark, sf):
