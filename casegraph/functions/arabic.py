@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The letters, words and runs that are told apart, and the points of scores().
 LETTER = "[ء-يٱ-ۓ]"
 WORD = "[ء-يٱ-ۓً-ٰٟ]{2,}"
 _RUN = r"[A-Za-z0-9٠-٩]"

@@ -9,9 +9,15 @@ from .text import squeeze
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """prefix_ and 20 upper-case hex digits of the parts' SHA-256; null, empty and zero parts count as empty."""
-    texts = [F.coalesce(F.when(~p.cast("string").isin("0", "0.0", "false"), p.cast("string")), F.lit("")) for p in parts]
-    return F.concat(F.lit(f"{prefix}_"), F.upper(F.substring(F.sha2(F.concat_ws("|", *texts), 256), 1, 20)))
+    """prefix_ and 20 upper-case hex digits of the parts' SHA-256; null parts, empty texts, false and numbers that are zero
+    count as empty. The text "0" is no number: it stays (typeof is folded when the query is planned)."""
+
+    def shown(p: Column) -> Column:
+        said = p.cast("string")
+        nothing = (F.typeof(p) != "string") & said.rlike(r"^(-?0(\.0*)?(E-?[0-9]+)?|false)$")
+        return F.coalesce(F.when(~nothing, said), F.lit(""))
+
+    return F.concat(F.lit(f"{prefix}_"), F.upper(F.substring(F.sha2(F.concat_ws("|", *map(shown, parts)), 256), 1, 20)))
 
 
 def signature(kind: str, *parts: Column) -> Column:

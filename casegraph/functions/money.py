@@ -23,7 +23,7 @@ LOOSE_CURRENCIES = {
     "USDT": ["USDT", "TETHER"],
     "USD": ["USD", "$", "دولار", "DOLLAR"],
     "EUR": ["EUR", "€", "يورو"],
-    "SAR": ["SAR", "ر.س", "ريال", " SR ", "SAUDI RIYAL"],
+    "SAR": ["SAR", "ر.س", "ريال", "ريالا", " SR ", "SAUDI RIYAL"],
 }
 DEBIT_WORDS = ["خصم", "سحب", "تحويل صادر", "رسوم", "فاتورة", "purchase", "pos", "fee", "debit", "مدين"]
 CREDIT_WORDS = ["إيداع", "ايداع", "تحويل وارد", "بيع", "حوالة واردة", "راتب", "credit", "deposit", "refund", "دائن"]

@@ -17,18 +17,24 @@ MAX_DEPTH = 10
 def ancestors(seeds: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """node_id, ancestor_id, depth: the walk up from each seed (node_id), ended by the depth, a missing parent or a cycle.
 
-    In a cycle the start itself may reappear once, as an ancestor. One left join a level on the nodes' parents, all of
-    them the same exchange; a walk that has ended joins nothing more.
+    In a cycle the start itself may reappear once, as an ancestor. Seeds share their parents, and those theirs: each level
+    keeps its distinct parents only, and their chains are put together from the top down. Levels without nodes are
+    empty relations, which adaptive execution takes out of the plan.
     """
-    kind = nodes.schema["node_id"].dataType
+    kind = nodes.schema["node_id"].dataType.simpleString()
     there = nodes.select(F.col("node_id").alias("above"))
-    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above")).join(there, "above", "left_semi")
-    walk = seeds.select("node_id", F.col("node_id").alias("at"), F.array().cast(f"array<{kind.simpleString()}>").alias("chain"))
-    for _ in range(max_depth):
-        on = F.col("above").isNotNull() & ~F.array_contains("chain", F.col("above"))
-        step = walk.join(up, "at", "left")
-        walk = step.select("node_id", F.when(on, F.col("above")).alias("at"), F.when(F.coalesce(on, F.lit(False)), F.array_append("chain", F.col("above"))).otherwise(F.col("chain")).alias("chain"))
-    return walk.select("node_id", F.posexplode("chain").alias("_d", "ancestor_id")).select("node_id", "ancestor_id", (F.col("_d") + 1).alias("depth"))
+    up = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("at"), F.col("parent_id").alias("above")).join(there, "above", "left_semi").select("at", "above")
+    levels = [seeds.select(F.col("node_id").alias("at")).distinct().join(up, "at")]
+    for _ in range(max_depth - 1):
+        levels.append(levels[-1].select(F.col("above").alias("at")).distinct().join(up, "at"))
+    chains = levels[-1].select("at", F.array("above").alias("chain"))
+    for level in reversed(levels[:-1]):
+        higher = F.coalesce("higher", F.array().cast(f"array<{kind}>"))
+        again = F.array_position(higher, F.col("above")).cast("int")  # a cycle: the walk stops before a node that it has met
+        open_ = F.when(again > 0, F.slice(higher, F.lit(1), again - 1)).otherwise(higher)
+        chains = level.join(chains.select(F.col("at").alias("above"), F.col("chain").alias("higher")), "above", "left").select("at", F.concat(F.array("above"), open_).alias("chain"))
+    found = seeds.select("node_id").join(chains.withColumnRenamed("at", "node_id"), "node_id")
+    return found.select("node_id", F.posexplode("chain").alias("_d", "ancestor_id")).select("node_id", "ancestor_id", (F.col("_d") + 1).alias("depth"))
 
 
 def children(seeds: DataFrame, nodes: DataFrame) -> DataFrame:

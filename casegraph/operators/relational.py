@@ -59,26 +59,26 @@ def chunk_by_cost(df: DataFrame, keys: list[str], order: str, cost: str, target:
     """Next-fit chunks of each key in order: a chunk ends before it would pass target (or most_items), or once it reaches hard.
 
     The fold is sequential by nature, so a key's (order, cost) pairs are folded as one array: a key's items, not a
-    table's, have to fit a row. Adds chunk_no, from 1.
+    table's, have to fit a row. It gives the places where chunks start; the items take the last one before them. Orders
+    are unique within a key. Adds chunk_no, from 1.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(1).alias("no"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("items"), F.array().cast(f"array<struct<o:{dict(df.dtypes)[order]},no:int>>").alias("out"))
+    nothing = F.array().cast(f"array<{dict(df.dtypes)[order]}>")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("items"), nothing.alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["items"] > 0) & ((acc["used"] + x["c"] > F.lit(min(target, hard))) | (acc["items"] >= most_items))
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
+        full = (acc["items"] == 0) | (acc["used"] + x["c"] > F.lit(min(target, hard))) | (acc["items"] >= most_items)
         used = F.when(full, x["c"]).otherwise(acc["used"] + x["c"])
         count = F.when(full, F.lit(1)).otherwise(acc["items"] + 1)
-        ended = used >= hard
         return F.struct(
-            F.when(ended, no + 1).otherwise(no).alias("no"),
-            F.when(ended, F.lit(0).cast("long")).otherwise(used).alias("used"),
-            F.when(ended, F.lit(0)).otherwise(count).alias("items"),
-            F.array_append(acc["out"], F.struct(x["o"].alias("o"), no.alias("no"))).alias("out"),
+            used.alias("used"),
+            F.when(used >= hard, F.lit(0)).otherwise(count).alias("items"),
+            F.when(full, F.array_append(acc["starts"], x["o"])).otherwise(acc["starts"]).alias("starts"),
         )
 
-    numbered = df.groupBy(*keys).agg(F.aggregate(items, start, step, lambda acc: acc["out"]).alias("_out")).select(*keys, F.inline("_out"))
-    return df.join(numbered.select(*keys, F.col("o").alias(order), F.col("no").alias("chunk_no")), [*keys, order])
+    starts = df.groupBy(*keys).agg(F.aggregate(items, start, step, lambda acc: acc["starts"]).alias("_starts")).select(*keys, F.posexplode("_starts").alias("_no", order))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(starts, [*keys, order], "left").withColumn("chunk_no", (F.last("_no", ignorenulls=True).over(w) + 1).cast("int")).drop("_no")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], joins_previous: Column, name: str = "island") -> DataFrame:
@@ -106,16 +106,15 @@ def stitch(df: DataFrame, keys: list[str], chunk: str, position: str, text: str,
     return numbered.groupBy(*keys, "clause_no").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias(text), F.count(F.lit(1)).alias("parts"))
 
 
-def systematic_sample(df: DataFrame, order: list[str], total: int, head: int = 30, middle: int = 30, tail: int = 20, limit: int = 80) -> DataFrame:
-    """Of more than limit rows the first head, a stride through the middle and the last tail; all rows otherwise. Needs the
-    row number: give a slice (a document's pages), not a whole table."""
-    if total <= limit:
-        return df
-    stride = max(1, (total - head - tail) // middle)
-    at = F.col("_at")
-    numbered = df.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
-    inside = (at >= head) & (at < total - tail) & ((at - head) % stride == 0) & ((at - head) / stride < middle)
-    return numbered.where((at < head) | (at >= total - tail) | inside).drop("_at")
+def systematic_sample(df: DataFrame, keys: list[str], order: list[str], head: int = 30, middle: int = 30, tail: int = 20, limit: int = 80, place: str = "place") -> DataFrame:
+    """Of each key's rows, if they are more than limit, the first head, a stride through the middle and the last tail; all
+    otherwise. Adds place, from 0. A key is something of bounded size, such as a document with its pages."""
+    total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    at = F.col(place)
+    stride = F.greatest(F.lit(1), F.floor((F.col("_total") - head - tail) / middle))
+    inside = (at >= head) & (F.pmod(at - head, stride) == 0) & (F.floor((at - head) / stride) < middle)
+    numbered = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("_total", total)
+    return numbered.where((F.col("_total") <= limit) | (at < head) | (at >= F.col("_total") - tail) | inside).drop("_total")
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:

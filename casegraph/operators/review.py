@@ -24,15 +24,23 @@ class ModelClient(Protocol):
 
 
 def call_model(df: DataFrame, prompt: str, client: ModelClient, answer: str = "answer") -> DataFrame:
-    """df with the model's answer; a failed call gives null and its error, never a failed job."""
+    """df with the model's answer; a failed call gives null and its error, never a failed job. If a batch fails, its prompts
+    are asked one by one, so one bad prompt costs no other row its answer."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{answer}` string, `{answer}_error` string"
 
+    def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            said = client.complete(prompts)
+            if len(said) != len(prompts):
+                raise ValueError(f"{len(prompts)} prompts, {len(said)} answers")
+            return [(x, None) for x in said]
+        except Exception as error:  # an outside service may fail in any way; the row says how
+            return [(None, repr(error))] if len(prompts) == 1 else [pair for p in prompts for pair in ask([p])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            try:
-                yield pdf.assign(**{answer: client.complete(pdf[prompt].tolist()), f"{answer}_error": None})
-            except Exception as error:  # an outside service may fail in any way; the row says how
-                yield pdf.assign(**{answer: None, f"{answer}_error": repr(error)})
+            pairs = ask(pdf[prompt].tolist()) if len(pdf) else []
+            yield pdf.assign(**{answer: [a for a, _ in pairs], f"{answer}_error": [e for _, e in pairs]})
 
     return df.mapInPandas(run, schema)
 

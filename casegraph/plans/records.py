@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, jsonx, text
-from ..operators import extraction, graph, register, relational, retrieval, workflow
+from ..operators import extraction, graph, register, relational, retrieval, review, workflow
 from .registry import query, table
 
 #: Order of a line within its order: line numbers repeat in the data.
@@ -111,12 +111,15 @@ def q15_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(edges, "a", "b").select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query("""WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part UNION SELECT DISTINCT lower(r_name) FROM region UNION SELECT 'the' UNION SELECT 'under')
-SELECT d.doc_id, t.term FROM documents d, t WHERE contains(lower(d.text), t.term)""")
+@query("""WITH d AS (SELECT doc_id // 10 AS a, doc_id, lower(text) AS t FROM documents), t AS (SELECT p_partkey // 20 AS a, lower(p_name) AS term FROM part UNION SELECT DISTINCT doc_id // 10, unnest(['the', 'under', 'tion']) FROM documents)
+SELECT d.doc_id, t.term FROM d JOIN t ON d.a = t.a WHERE contains(d.t, t.term)""")
 def q16_terms_in_text(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "part").select(F.lower("p_name").alias("term")).union(table(spark, sf, "region").select(F.lower("r_name"))).union(spark.createDataFrame([("the",), ("under",)], "term string")).distinct()
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("_text"))
-    return d.join(names, F.contains("_text", F.col("term"))).select("doc_id", "term")
+    """Ten documents make an agreement, which defines the names of twenty parts and three words."""
+    group = lambda c, n: F.floor(F.col(c) / n)
+    d = table(spark, sf, "documents").select(group("doc_id", 10).alias("agreement_id"), F.col("doc_id").alias("clause_id"), "text")
+    words = d.select("agreement_id", F.explode(F.array(F.lit("the"), F.lit("under"), F.lit("tion"))).alias("term"))
+    names = table(spark, sf, "part").select(group("p_partkey", 20).alias("agreement_id"), F.lower("p_name").alias("term")).union(words).distinct()
+    return review.clause_terms(d, names).select(F.col("clause_id").alias("doc_id"), "term")
 
 
 @query("""WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1), c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9800 GROUP BY 1)
@@ -146,8 +149,6 @@ def q21_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2), s AS (SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY 1)
 SELECT c.conv_id, min(length(c.text))::BIGINT AS score, bool_and(c.role <> 'system') AS is_complete, bool_and(length(c.text) > 20) AS is_ready, any_value(s.roles) AS roles FROM conversations c JOIN s USING (conv_id) GROUP BY c.conv_id""")
 def q22_review_merge(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import review
-
     parts = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.char_length("text").cast("long").alias("score"), (F.col("role") != "system").alias("is_complete"), (F.char_length("text") > 20).alias("is_ready"), F.array("role").alias("roles"), F.lit("").alias("summary")
     )
@@ -155,22 +156,21 @@ def q22_review_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("conv_id", "score", "is_complete", "is_ready", F.array_join("roles", ",").alias("roles"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents), u AS (SELECT k, source, min(doc_id) AS f FROM d GROUP BY 1, 2)
+@query(r"""WITH d AS (SELECT doc_id, lang, source, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS k FROM documents), u AS (SELECT k, source, min(doc_id) AS f FROM d GROUP BY 1, 2)
 SELECT d.k AS merge_key, min(d.doc_id) AS doc_id, arg_min(d.lang, d.doc_id) FILTER (WHERE d.lang <> '') AS lang, any_value(s.sources) AS sources, count(*) AS merged_count
 FROM d JOIN (SELECT k, string_agg(source, ',' ORDER BY f) AS sources FROM u GROUP BY 1) s ON d.k = s.k GROUP BY d.k""")
 def q23_first_wins_merge(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 40)), "[^a-z0-9]+", " "))
+    key = F.sha2(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), 256)
     d = table(spark, sf, "documents").select(key.alias("merge_key"), "doc_id", "lang", F.array("source").alias("sources"))
     return relational.first_wins_merge(d, ["merge_key"], "doc_id", ["lang"], ["sources"]).select("merge_key", "doc_id", "lang", F.array_join("sources", ",").alias("sources"), "merged_count")
 
 
-@query(r"""WITH d AS (SELECT doc_id, sha256('document|' || trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'))) AS signature FROM documents)
-SELECT signature, min(doc_id) AS doc_id, count(*) - 1 AS duplicates FROM d GROUP BY 1""")
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS stored, sha256('document|' || trim(lower(regexp_replace(text, '\s+', ' ', 'g')))) AS signature FROM documents)
+SELECT signature, min(doc_id) AS doc_id FROM d GROUP BY 1 HAVING NOT bool_or(stored)""")
 def q24_signature_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    # ASCII folding keeps both engines alike; ids.signature() folds all letters
-    folded = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x09-\x0D\x20]+", " "))
-    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat(F.lit("document|"), folded), 256).alias("signature"))
-    return d.groupBy("signature").agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    """Documents with odd ids arrive; those with even ids are stored already."""
+    d = table(spark, sf, "documents").select("doc_id", ids.signature("document", F.col("text")).alias("signature"))
+    return relational.new_by_signature(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"), ["signature"], ["doc_id"]).select("signature", "doc_id")
 
 
 @query("""WITH f AS (SELECT conv_id, lower(role) AS k, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(k, '>' ORDER BY t) AS roles FROM f GROUP BY 1""")
@@ -269,14 +269,13 @@ def q41_rank_map_sort(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", F.col("k.later").cast("long").alias("later"), F.col("k.rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH n AS (SELECT l_returnflag AS document, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS t FROM lineitem)
+@query("""WITH n AS (SELECT l_suppkey AS document, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS t FROM lineitem)
 SELECT document, l_orderkey, CAST(i AS BIGINT) AS place FROM n WHERE t <= 80 OR i < 30 OR i >= t - 20 OR ((i - 30) % greatest(1, (t - 50) // 30) = 0 AND (i - 30) // greatest(1, (t - 50) // 30) < 30)""")
 def q42_systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("document").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    n = table(spark, sf, "lineitem").withColumn("document", F.col("l_returnflag")).withColumns({"i": F.row_number().over(w) - 1, "t": F.count(F.lit(1)).over(Window.partitionBy("document"))})
-    stride = F.greatest(F.lit(1), F.floor((F.col("t") - 50) / 30))
-    middle = (F.pmod(F.col("i") - 30, stride) == 0) & (F.floor((F.col("i") - 30) / stride) < 30)
-    return n.where((F.col("t") <= 80) | (F.col("i") < 30) | (F.col("i") >= F.col("t") - 20) | middle).select("document", "l_orderkey", F.col("i").cast("long").alias("place"))
+    """A supplier's lines are the pages of a document."""
+    pages = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("document"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    sample = relational.systematic_sample(pages, ["document"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"])
+    return sample.select("document", "l_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH l AS ({LINES}) SELECT l_orderkey, CAST(line AS BIGINT) AS line, l_partkey FROM l WHERE line <= 3""")

@@ -7,17 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A table's rows; a table that does not exist yet is empty if its schema is given."""
-    try:
-        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
-    except AnalysisException:
-        if schema is None:
-            raise
+    """A table's rows; a table that does not exist yet is empty if its schema is given. Any other failure is raised: what
+    can't be read must not count as empty, since replace_slice() writes over what it has read."""
+    if schema is not None and not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
 def case_slice(df: DataFrame, case_id: str, key: str = "case_id") -> DataFrame:
@@ -45,9 +47,15 @@ def replaced(df: DataFrame, case_id: str, rows: DataFrame, remove: Column | None
 
 
 def replace_slice(spark: SparkSession, path: str, case_id: str, rows: DataFrame, remove: Column | None = None, key: str = "case_id") -> None:
-    """Writes a case's partition anew; other partitions are neither read nor written. The new rows are materialised first,
-    since they may come from the partition that is overwritten."""
-    part = case_slice(read_table(spark, path, rows.schema), case_id, key)
+    """Writes a case's partition anew; other partitions are neither read nor written. Rows that stay keep all their columns,
+    also those that the new rows lack. The new rows are materialised first, since they may come from the partition that is
+    overwritten."""
+    if exists(spark, path):
+        # mergeSchema: files of different batches may have different columns
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        part = case_slice(stored.withColumn(key, F.col(key).cast(rows.schema[key].dataType)), case_id, key)
+    else:
+        part = spark.createDataFrame([], rows.schema)
     merged = replaced(part, case_id, rows, remove, key)
     staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     merged.write.parquet(staged)

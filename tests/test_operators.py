@@ -40,7 +40,7 @@ def test_fact_rows(rows):
     found = {r.fact_key: r for r in rows.collect()}
     assert {k: r.row_status for k, r in found.items()} == {"F1": "EXTRACTED", "F2": "EXTRACTED", "F3": "CALCULATED", "F4": "UNCERTAIN", "F5": "UNCERTAIN", "F6": "MISSING", "F7": "UNCERTAIN", "F8": "UNCERTAIN", "F9": "UNCERTAIN"}
     assert found["F1"].fact.currency == "SAR" and found["F1"].fact.amount == "1,000,000.00" and found["F1"].raw == {"amount": "1,000,000"}
-    assert found["F3"].check.ok and "700,000.00" in found["F4"].reason and "not a readable number" in found["F8"].reason
+    assert found["F3"].check.ok and "700,000.00" in found["F4"].reason and "unreadable_amount:amount=one hundred" in found["F8"].reason
     assert not found["F6"].has_conflict and found["F1"].row_id.startswith("FACT_") and "F10" not in found
 
 
