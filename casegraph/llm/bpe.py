@@ -2,14 +2,17 @@
 
 The symbols of many words lie in one flat array. A round looks up every neighbouring pair of symbols in the sorted keys
 of the merge table (binary search), finds each word's pair of lowest rank, and merges all its places, leftmost first
-where they overlap. Words without a pair left drop out, so later rounds handle few symbols.
+where they overlap. Words without a pair left drop out, so later rounds handle few symbols. A long word would have a round
+for each of its thousands of ranks; such words are merged rank by rank, and a round only looks where that rank's pairs are.
 
-Edge cases: a null or empty text has no ids and decodes to an empty text. Strings of special tokens are their ids, as
+Edge cases: an empty table gives an empty result, null keys and other columns are the caller's, carried along untouched. A
+null or empty text has no ids and decodes to an empty text. Strings of special tokens are their ids, as
 in the tokenizers library. Ids that end inside a character decode to U+FFFD, as there. Repeated texts repeat their ids.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -40,6 +43,10 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Words of more bytes (text without blanks) are merged rank by rank.
+LONG = 256
+
+
 class MergeRounds(WordEncoder):
     def __init__(self, path: str):
         super().__init__(path)
@@ -51,7 +58,7 @@ class MergeRounds(WordEncoder):
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in model["merges"]], np.int64)
         made = np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made, self.made_of_rank = keys[order], order.astype(np.int64), made[order], made
         of_letter = {c: b for b, c in enumerate(letters)}
         self.octets: dict[int, bytes] = {i: bytes(of_letter[c] for c in t) if all(c in of_letter for c in t) else t.encode() for t, i in vocab.items()}
         self.octets |= {i: t.encode() for t, i in model["special"].items()}
@@ -97,12 +104,73 @@ class MergeRounds(WordEncoder):
         order = np.argsort(owners, kind="stable")
         return ids[order], np.bincount(owners, minlength=len(words))
 
+    def ranks_at(self, symbols: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; len(self.keys) where it is no merge."""
+        pair = symbols[at] * self.size + symbols[after]
+        slot = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[slot] == pair, self.rank[slot], len(self.keys))
+
+    def merge_long(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() for long words: a round takes one rank, and looks only at the places where such a pair is or was made.
+
+        Neighbours are links, since the symbols stay where they are. All words share the rounds; words do not touch.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self.start[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        n, none = len(symbols), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths) - 1
+        after[ends], before[ends - lengths + 1] = -1, -1
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[after[at] >= 0]
+            rank = self.ranks_at(symbols, at, after[at])
+            at, rank = at[rank < none], rank[rank < none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for places, r in zip(np.split(at, cuts), rank[np.concatenate(([0], cuts))].tolist() if len(rank) else (), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(places)
+
+        put(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (after[at] >= 0)]
+            at = at[self.ranks_at(symbols, at, after[at]) == r]  # some have been merged into others since
+            if not len(at):
+                continue
+            starts = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]  # as in merge(): from the left
+            gone = after[at]
+            symbols[at] = self.made_of_rank[r]
+            alive[gone] = False
+            further = after[gone]
+            after[at] = further
+            before[further[further >= 0]] = at[further >= 0]
+            touched = np.concatenate((at, before[at]))
+            put(np.unique(touched[touched >= 0]))
+        return symbols[alive], np.bincount(owner[alive], minlength=len(words))
+
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
-        found: list[bytes] = []
-        for at in range(0, len(words), 50_000):
-            ids, counts = self.merge([w.encode() for w in words[at : at + 50_000]])
+        octets = [w.encode() for w in words]
+        found: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(octets) if len(w) <= LONG]
+        long = [i for i, w in enumerate(octets) if len(w) > LONG]
+        parts = [(self.merge, short[at : at + 50_000]) for at in range(0, len(short), 50_000)] + [(self.merge_long, long)] * bool(long)
+        for merge, numbers in parts:
+            ids, counts = merge([octets[i] for i in numbers])
             flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            found += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            for i, a, b in zip(numbers, [0, *ends[:-1]], ends, strict=True):
+                found[i] = flat[a:b]
         return found
 
     def decode(self, ids: Sequence[int]) -> str:

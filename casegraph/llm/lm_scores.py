@@ -18,6 +18,7 @@ a text count for one another. An empty table gives an empty result. Null keys ar
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from .workspace import Workspace
 ALPHA = 0.4
 #: Characters of a block's texts, about; what a task holds of a block is some ten times as much.
 BLOCK_CHARS = 4_000_000
+#: Words of the corpus for each range of hashes: about so many n-grams of an order come together in a task (8 bytes each).
+RANGE_WORDS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant: products with it spread over all 64 bits
 
 
@@ -112,7 +115,6 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     """key, n_words, log_score (natural logarithms summed over the text's words), n_backed_off."""
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[key].dataType.simpleString()
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +136,17 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
         """Distinct n-grams of each order with their counts in the block."""
         return [(b.words, np.bincount(b.numbers, minlength=len(b.words))), *(np.unique(hashed, return_counts=True) for _, hashed in b.longer)]
 
-    def edges() -> np.ndarray:
+    def edges(ranges: int) -> np.ndarray:
         return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts_at = edges(ranges)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 columns: list[list] = [[], [], [], [], []]
                 for size, (hashed, counts) in enumerate(grams(load(row)), 1):
-                    cuts = [0, *np.searchsorted(hashed, edges()).tolist(), len(hashed)]
+                    cuts = [0, *np.searchsorted(hashed, cuts_at).tolist(), len(hashed)]
                     for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         if a < z:
                             for column, value in zip(columns, (row["block"], size, part, _press(hashed[a:z]), _small(counts[a:z])), strict=True):
@@ -158,7 +161,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
         distinct, place = np.unique(everyone, return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([_counts(x) for x in table.column("counts").to_pylist()]), minlength=len(distinct)).astype(np.int64)
         cuts = np.cumsum([len(a) for a in asked])[:-1]
-        found = [_small(total[p]) for p in np.split(place, cuts)]
+        # what a block has not counted itself: mostly nothing, which takes next to no room
+        found = [_small(total[p] - _counts(own)) for p, own in zip(np.split(place, cuts), table.column("counts").to_pylist(), strict=True)]
         return pa.table({"block": table.column("block"), "gram_order": table.column("gram_order"), "part": table.column("part"), "totals": pa.array(found, pa.binary())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
                 got: list[list] = [[] for _ in range(order)]
                 for a in sorted(row["answers"], key=lambda a: a["part"]):
                     got[a["gram_order"] - 1].append(_counts(a["totals"]))
-                words, *totals = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+                words, *totals = ((np.concatenate(g) if g else np.zeros(0, np.int64)) + own for g, (_, own) in zip(got, grams(b), strict=True))
                 n = len(b.lengths)
                 others = np.maximum(total_words - b.lengths, 1)[b.doc].astype(float)
                 w = words[b.numbers] - _own(b.doc, b.numbers) if len(b.numbers) else np.zeros(0, np.int64)
@@ -191,6 +195,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
 
     blocks = work.table(docs.select(key, text).mapInArrow(to_blocks, f"block string, keys array<{kind}>, lengths array<bigint>, words binary, numbers binary"), "blocks")
     total_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
+    # a range holds a bounded number of n-grams (copies aside, total_words of each order), so their number grows with the corpus
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_words / RANGE_WORDS))
     rows = blocks.select("block", "lengths", "words", "numbers").mapInArrow(explode, "block string, gram_order int, part int, grams binary, counts binary")
     answers = rows.groupBy("gram_order", "part").applyInArrow(answer, "block string, gram_order int, part int, totals binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("gram_order", "part", "totals")).alias("answers"))

@@ -25,6 +25,8 @@ from .words import library_encoder
 from .workspace import Workspace
 
 CAPACITY = 1024
+#: Shorter pieces, and this share of the pieces of every length, fill no gap in pairs and triples: they stay for best fit.
+SHORT, KEPT = 64, 0.5
 
 
 @dataclass(frozen=True)
@@ -38,58 +40,89 @@ class Slot:
     offset: int
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
-    """counts: number of pieces of each length, 1 to capacity.
-
-    Small tables have few short pieces, and filling gaps exactly may use up those that others need more. So the plan is
-    also made with pairs only, with single lengths only and with best fit alone; the one of fewest sequences counts, of
-    equal ones the one with the most exact filling.
+class _Sums:
+    """Which sums the lengths that may fill gaps make: how many pairs of them make each sum, kept up as lengths run out."""
+
+    def __init__(self, left: np.ndarray, short: int, kept: float):
+        self.left, self.capacity = left, len(left) - 1
+        self.least = np.ceil(kept * left).astype(np.int64)
+        self.alive = left > self.least
+        self.alive[:short] = False
+        self.of_pairs = np.zeros(self.capacity + 1, np.int64)
+        there = np.flatnonzero(self.alive)
+        for x in there:
+            at = x + there[(there <= x) & (there + x <= self.capacity)]
+            self.of_pairs[at] += 1
+
+    def free(self, x: int) -> int:
+        return max(0, int(self.left[x] - self.least[x])) if self.alive[x] else 0
+
+    def taken(self, x: int) -> None:
+        """Takes a length that has run out from all sums."""
+        if self.alive[x] and self.left[x] <= self.least[x]:
+            there = np.flatnonzero(self.alive[: self.capacity - x + 1])
+            self.of_pairs[there + x] -= 1
+            self.alive[x] = False
+
+    def pairs(self, total: int, most: int) -> list[tuple[int, int]]:
+        """Pairs (a, b), most >= a >= b, that make total; largest a first."""
+        if total < 2 or not self.of_pairs[total]:
+            return []
+        a = np.arange((total + 1) // 2, min(total - 1, most) + 1)
+        a = a[self.alive[a] & self.alive[total - a]][::-1]
+        return list(zip(a.tolist(), (total - a).tolist(), strict=True))
+
+    def firsts(self, total: int, most: int) -> list[int]:
+        """The largest members of triples that may make total, largest first."""
+        a = np.flatnonzero(self.alive[: min(total - 1, most + 1)])
+        a = a[3 * a >= total]
+        return a[self.of_pairs[total - a] > 0][::-1].tolist()
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, short: int = SHORT, kept: float = KEPT) -> list[Slot]:
+    """counts: number of pieces of each length, 1 to capacity. Exact-complement filling, then best fit of what is left.
+
+    From the longest length down, a sequence's gap is filled by a single length, else by a pair, else by a triple of the
+    available ones, largest first, as often as the counts allow. Pairs and triples leave pieces under short alone, and the
+    share kept of every other length: what fills a gap exactly now is missed by the residuals later.
     """
-    return min((_plan(counts, capacity, fill) for fill in (3, 2, 1, 0)), key=lambda slots: max((s.sequence + s.count for s in slots), default=0))
-
-
-def _plan(counts: dict[int, int], capacity: int, fill: int) -> list[Slot]:
-    """fill: up to so many lengths fill a gap exactly, before best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     groups: list[tuple[tuple[int, ...], int]] = []  # (lengths in order, how many sequences)
+    sums = _Sums(left, short, kept)
 
     def take(lengths: tuple[int, ...], n: int) -> None:
         groups.append((lengths, n))
         for x in lengths:
             left[x] -= n
+        for x in set(lengths):
+            sums.taken(x)
 
-    def most(lengths: tuple[int, ...]) -> int:
-        """How many sequences of these lengths the counts allow."""
-        return min(int(left[x]) // lengths.count(x) for x in set(lengths))
+    def fill(longest: int, others: tuple[int, ...]) -> None:
+        """As many sequences of longest and others as the counts allow."""
+        lengths = (longest, *others)
+        n = min(*(int(left[x]) // lengths.count(x) for x in set(lengths)), *(sums.free(x) // others.count(x) for x in set(others)))
+        if n > 0:
+            take(lengths, n)
 
     for longest in range(capacity, 0, -1):
         gap = capacity - longest
-        if not gap:
-            if left[longest]:
-                take((longest,), int(left[longest]))
-            continue
-        if fill >= 1 and left[longest] and gap <= longest and (n := most((longest, gap))):
+        if not gap and left[longest]:
+            take((longest,), int(left[longest]))
+        if 0 < gap <= longest and left[longest] and (n := min(int(left[longest]), int(left[gap])) if gap < longest else int(left[gap]) // 2):
             take((longest, gap), n)
-        if fill >= 2 and left[longest]:
-            there = np.flatnonzero(left[: min(gap, longest + 1)])
-            for a in there[2 * there >= gap][::-1].tolist():  # pairs a >= b with a + b == gap
-                b = gap - a
-                if b >= 1 and left[b] and (n := most((longest, a, b))):
-                    take((longest, a, b), n)
+        if left[longest]:
+            for pair in sums.pairs(gap, longest):
+                fill(longest, pair)
+                if not left[longest]:
+                    break
+        if left[longest]:
+            for first in sums.firsts(gap, longest):
+                for pair in sums.pairs(gap - first, first):
+                    fill(longest, (first, *pair))
                     if not left[longest]:
                         break
-        if fill >= 3 and left[longest]:
-            there = np.flatnonzero(left[: min(gap, longest + 1)])
-            for a in there[3 * there >= gap][::-1].tolist():  # triples a >= b >= c
-                rest = gap - a
-                second = there[(2 * there >= rest) & (there <= min(a, rest - 1))]
-                for b in second[left[rest - second] > 0][::-1].tolist() if len(second) else ():
-                    if (n := most((longest, a, b, rest - b))) > 0:
-                        take((longest, a, b, rest - b), n)
-                        if not left[longest]:
-                            break
                 if not left[longest]:
                     break
     # residuals, longest first, into the open sequence with the least sufficient gap
