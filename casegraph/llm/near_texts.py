@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,26 +97,48 @@ def _can_reach(one: np.ndarray, two: np.ndarray, needed: np.ndarray) -> np.ndarr
     return (lesser == 255).any(axis=1) | (lesser.sum(axis=1, dtype=np.int64) >= needed)
 
 
-def _meeting(threshold: float, sketched: bool):
-    """Pairs of a shingle's members, or of two chunks of them, that can reach the threshold and are not yet in one component.
+def _meeting(threshold: float):
+    """Pairs of a shingle's few members that can reach the threshold and are not yet in one component; all groups of a batch at once.
 
     At the first shingle that two texts have in common, all others that they have in common come after it in both.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            members = lists.flatten()
+            n, size, left, component = (members.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            group = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            x = np.arange(len(n))
+            for step in range(1, len(n)):
+                x = x[x + step < len(n)]
+                x = x[group[x] == group[x + step]]  # members of a group stand side by side
+                if not len(x):
+                    break
+                y = x + step
+                can = (component[x] != component[y]) & (np.minimum(left[x], left[y]) >= _least_common(size[x], size[y], threshold))
+                a.append(np.minimum(n[x], n[y])[can])
+                b.append(np.maximum(n[x], n[y])[can])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _crowd(threshold: float):
+    """The same for the two chunks of a large group that each row holds; counts by range are looked at as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                first, others = row["first"], row.get("second") or row["first"]
-                columns = lambda ms: [np.array([m[k] for m in ms], np.int64) for k in ("n", "size", "left", "component")]
-                octets = lambda ms: np.frombuffer(b"".join(m["bins"] for m in ms), np.uint8).reshape(-1, BINS)
-                (n, size, left, component), (m, sizes, lefts, parts) = columns(first), columns(others)
-                mine, theirs = (octets(first), octets(others)) if sketched else (None, None)
+                first, second = (c.slice(i, 1).flatten() for c in batch.columns)
+                (n, size, left, component), (m, sizes, lefts, parts) = ([x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)] for x in (first, second))
+                mine, theirs = (np.frombuffer(b"".join(x.field(4).to_pylist()), np.uint8).reshape(-1, BINS) for x in (first, second))
                 a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for x in range(len(n)):
                     needed = _least_common(sizes, size[x], threshold)
                     can = np.flatnonzero((parts != component[x]) & (np.minimum(lefts, left[x]) >= needed))
-                    if sketched and len(can):
+                    if len(can):
                         can = can[_can_reach(theirs[can], mine[x], needed[can])]
                     a.append(np.minimum(m[can], n[x]))
                     b.append(np.maximum(m[can], n[x]))
@@ -192,10 +215,10 @@ def meeting_pairs(sketches: DataFrame, known: DataFrame, threshold: float, work:
     few = shared.where(F.col("members") <= small).groupBy("token").agg(F.collect_list(member).alias("first"))
     many = shared.where(F.col("members") > small).join(sketches.select("n", "bins"), "n").select("token", "n", "component", "size", "left", "bins").union(often)
     crowds = simhash.rest_and_all(many, ["token"], F.struct("n", "size", "left", "component", "bins"), "n", chunk)
-    met_few = few.mapInArrow(_meeting(threshold, False), "a bigint, b bigint").distinct()
+    met_few = few.select("first").mapInArrow(_meeting(threshold), "a bigint, b bigint").distinct()
     sketch = lambda end: sketches.select(F.col("n").alias(end), F.col("size").alias(f"size_{end}"), F.col("bins").alias(f"bins_{end}"))
     both = met_few.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
-    likely = both.mapInArrow(_can_meet(threshold), "a bigint, b bigint").union(crowds.mapInArrow(_meeting(threshold, True), "a bigint, b bigint"))
+    likely = both.mapInArrow(_can_meet(threshold), "a bigint, b bigint").union(crowds.mapInArrow(_crowd(threshold), "a bigint, b bigint"))
     return work.table(likely.distinct(), "likely")
 
 
