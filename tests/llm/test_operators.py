@@ -248,11 +248,21 @@ def test_lm_scores_of_trigrams(spark):
     same([(r.doc_id, r.n_words, round(r.log_score, 6) + 0.0, r.n_backed_off) for r in found], [(k, n, x + 0.0, b) for k, n, x, b in want])
 
 
+def brute_runs(rows):
+    """(key, first word, run) of every run of 25 words; those of equal runs that stand in 50 equal words have to be found."""
+    out = defaultdict(list)
+    for k, t in rows:
+        words = [(p, w) for p, line in enumerate((t or "").split("\n")) for w in line.encode().lower().split()]
+        for i in range(len(words) - 24):
+            out[b" ".join(w for _, w in words[i : i + 25])].append((k, i, words[i][0]))
+    return out
+
+
 def test_paragraphs(spark):
-    found = paragraph_dedup.duplicate_paragraphs(clashing(odd_documents(spark)))
+    found = paragraph_dedup.duplicate_paragraphs(clashing(odd_documents(spark)), least=5)
     by = defaultdict(list)
     for k, t, *_ in odd_rows():
-        for place, words in paragraph_dedup.paragraphs(t or ""):
+        for place, words in paragraph_dedup.paragraphs(t or "", 5):
             by[b" ".join(words)].append((k, place))
     keys = list(by)
     sets = [frozenset(paragraph_dedup.shingles(k.split())) for k in keys]
@@ -267,15 +277,16 @@ def test_paragraphs(spark):
         members[g] += by[k]
     want = [o for m in members.values() if len(m) > 1 for o in m]
     rows = found.collect()
-    same([(r.doc_id, r.paragraph) for r in rows if r.sentence is None], want)
+    same([(r.doc_id, r.paragraph) for r in rows if r.passage is None], want)
     for r in rows:
-        if r.sentence is None:
+        if r.passage is None:
             assert r.removed == ((r.doc_id, r.paragraph) != (r.first_doc_id, r.first_paragraph))
-    said = defaultdict(list)
-    for k, t, *_ in odd_rows():
-        for place, number, words in paragraph_dedup.sentences(t or ""):
-            said[b" ".join(words)].append((k, place, number))
-    same([(r.doc_id, r.paragraph, r.sentence) for r in rows if r.sentence is not None], [o for places in said.values() if len(places) > 1 for o in places])
+    # every run that is found has an equal one, and every text with one in 50 equal words has a row
+    runs = brute_runs([r[:2] for r in odd_rows()])
+    again = {(k, i, p) for places in runs.values() if len(places) > 1 for k, i, p in places}
+    got = {(r.doc_id, r.passage, r.paragraph) for r in rows if r.passage is not None}
+    assert got and got <= again
+    assert {r.doc_id for r in rows if r.passage is not None} >= {k for k, *_ in again} - {r[0] for r in odd_rows() if len((r[1] or "").split()) < 50}
     assert paragraph_dedup.duplicate_paragraphs(no_documents(spark)).count() == 0
     bands, per = paragraph_dedup.tune()
     assert 1 - (1 - 0.8**per) ** bands >= 0.99
@@ -283,12 +294,46 @@ def test_paragraphs(spark):
         paragraph_dedup.tune(0.3, 0.999, (0.29, 0.001))
 
 
+def test_chosen_runs():
+    """The least hash of every span, the last of equal ones, and none over the border of two texts."""
+    rng = np.random.default_rng(2)
+    owner = np.repeat(np.arange(4), (30, 50, 200, 400))
+    hashed = rng.integers(0, 20, len(owner) - paragraph_dedup.WINDOW + 1).astype(np.uint64)
+    want = set()
+    for start in range(len(hashed) - 25):
+        if owner[start] == owner[start + 49]:
+            span = hashed[start : start + 26]
+            want.add(start + max(i for i in range(26) if span[i] == span.min()))
+    assert paragraph_dedup._chosen(hashed, owner).tolist() == sorted(want)
+
+
 def test_passage_within_paragraphs(spark):
-    """A passage in the middle of two different paragraphs is found by its sentences."""
-    passage = "One of these sentences stands in two documents here. And so does this other one, right after it."
-    rows = [(1, f"Something before that goes on {passage} and then some more words of its own"), (2, f"quite another start {passage} A different end of the line it is"), (3, "Clean text of a third document that shares nothing with others at all.")]
+    """50 words in a row that two texts share are found wherever they stand, over line breaks too."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    rows, pairs = [], 0
+    for i in range(20):
+        passage = word(50)
+        rows += [(10 * i, f"{word(i)} {passage} {word(40)}"), (10 * i + 1, f"{word(3)}\n{word(2 * i)} {passage.replace(' ', chr(10), 3)} end")]
+        pairs += 1
+    rows += [(1000 + i, word(300)) for i in range(20)]
     found = paragraph_dedup.duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.sentence, r.removed) for r in found} == {(1, 1, False), (2, 1, True)}
+    assert {r.doc_id for r in found} == {r[0] for r in rows if r[0] < 1000} and all(r.passage is not None for r in found)
+    assert {r.doc_id for r in found if r.removed} == {r[0] for r in rows if r[0] < 1000 and r[0] % 10}
+
+
+def test_large_groups_of_paragraphs(spark):
+    """A band's group beyond a chunk: compared with its first paragraph, then the rest with all."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(30)] + [(100 + i, " ".join(f"q{i}x{j}" for j in range(30))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    work = Workspace(spark, "test")
+    bands, per = paragraph_dedup.tune()
+    units = work.table(df.select(F.col("doc_id").alias("doc"), "text").mapInArrow(paragraph_dedup._units(bands, per, 20), "doc bigint, place int, at int, key binary, n_words int, bands array<bigint>"), "units").where("at IS NULL")
+    for chunk in (4, 256):
+        near = paragraph_dedup.links(units, df, "text", 0.8, 20, work, chunk)
+        parts = components(near, work).groupBy("component").count().collect()
+        assert [r["count"] for r in parts] == [30]
 
 
 def test_token_files(spark, library, tmp_path):

@@ -136,7 +136,7 @@ def test_op_queries(spark, sf):
         5: "doc_id n_bytes n_removed n_spans kept_sha256",
         6: "doc_id n_words n_tokens log_score",
         7: "doc_id n_words log_score n_backed_off",
-        8: "doc_id paragraph first_doc_id first_paragraph removed",
+        8: "doc_id paragraph passage first_doc_id first_paragraph removed",
         9: "doc_id start n_tokens ids_crc32",
         10: "doc_id fingerprint component_id",
     }
