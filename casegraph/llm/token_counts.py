@@ -5,9 +5,10 @@ add up to the most. Words are inserted in a trie; a node stands for a prefix and
 score and how many pieces give it, computed once from the nodes above it however many words share it. A word's terminal
 node then holds the word's count. Documents add up the counts of their words.
 
-A worker keeps its trie over all texts that it sees (NODES at most; then it starts anew, which only costs time).
+A worker keeps its trie over all texts that it sees (NODES at most; then it starts anew, which only costs time). A word of
+over LONG bytes gets its score without nodes.
 
-Edge cases: a null or wordless text has no tokens. Of equal scores the one with fewer pieces counts. Characters that no
+Edge cases: an empty table gives an empty result; null keys are kept, other columns (of any name) are left out. A null or wordless text has no tokens. Of equal scores the one with fewer pieces counts. Characters that no
 piece covers cost a byte piece for each of their UTF-8 bytes. Repeated rows are counted alike.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import in_batches
 
 NODES = 1_500_000
+#: Words whose counts a worker keeps, and the longest (bytes) that goes into the trie.
+KNOWN, LONG = 1_000_000, 1000
 MARK = "▁"
 
 
@@ -57,12 +60,12 @@ class Trie:
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - 10.0
         self.clear()
+        self.known: dict[bytes, int] = {}
+        self.pieces, self.totals, self.filled = np.zeros(0, np.int64), np.zeros(0, np.float64), 0
 
     def clear(self) -> None:
         self.root: list = [0.0, 0, {}]
         self.nodes = 0
-        self.known: dict[bytes, int] = {}
-        self.found: list[tuple[int, float]] = []
 
     def insert(self, word: str) -> tuple[int, float]:
         """Pieces and score of a word."""
@@ -86,21 +89,46 @@ class Trie:
             path.append(node)
         return node[1], node[0]
 
+    def along(self, word: str) -> tuple[int, float]:
+        """insert() for a long word, which shares no prefix with others: only the last scores are held, no node is made."""
+        scores, longest = self.scores, self.longest
+        path: list[tuple[float, int]] = [(0.0, 0)]  # of the last `longest` places
+        for end, letter in enumerate(word, 1):
+            octets = len(letter.encode("utf-8", "replace"))
+            best, pieces = path[-1][0] + octets * self.byte, path[-1][1] + octets
+            first = max(0, end - longest)
+            for start in range(first, end):
+                own = scores.get(word[start:end])
+                if own is not None:
+                    score, n = path[start - end]
+                    total = score + own
+                    if total > best or (total == best and n + 1 < pieces):
+                        best, pieces = total, n + 1
+            path.append((best, pieces))
+            if len(path) > longest:
+                del path[0]
+        return path[-1][1], path[-1][0]
+
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(words, tokens, score) of each text."""
-        if self.nodes > self.most:
-            self.clear()
+        if len(self.known) > KNOWN:
+            self.known, self.filled = {}, 0
         split = [t.encode().split() for t in texts]
         known = self.known
-        for word in sorted({w for words in split for w in words if w not in known}):
-            known[word] = len(self.found)
-            self.found.append(self.insert(MARK + word.decode()))
-        pieces = np.array([p for p, _ in self.found], np.int64)
-        totals = np.array([s for _, s in self.found], np.float64)
+        fresh = sorted({w for words in split for w in words if w not in known})  # in order, so that prefixes are met together
+        if self.filled + len(fresh) > len(self.pieces):
+            room = 2 * (self.filled + len(fresh))
+            self.pieces, self.totals = (np.concatenate((x[: self.filled], np.zeros(room - self.filled, x.dtype))) for x in (self.pieces, self.totals))
+        for word in fresh:
+            if self.nodes > self.most:
+                self.clear()
+            known[word] = at = self.filled
+            self.pieces[at], self.totals[at] = self.insert(MARK + word.decode()) if len(word) <= LONG else self.along(MARK + word.decode())
+            self.filled += 1
         rows = []
         for words in split:
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            rows.append((len(words), int(pieces[at].sum()), float(totals[at].sum())))
+            rows.append((len(words), int(self.pieces[at].sum()), float(self.totals[at].sum())))
         return rows
 
 

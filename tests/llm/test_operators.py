@@ -199,6 +199,38 @@ def test_token_counts(spark):
     trie = token_counts.Trie({"a": -1.0, "b": -1.0, "ab": -1.5, "abb": -2.5})
     assert trie.insert("ab") == (1, -1.5) and trie.nodes == 2
     assert trie.insert("abb") == (1, -2.5) and trie.nodes == 3  # of equal scores the one with fewer pieces; one new node
+    rng = np.random.default_rng(6)
+    full = token_counts.Trie(scores)
+    for n in (1, 5, 40, 3000):
+        word = "".join(rng.choice(list("etaoinsé漢")) for _ in range(n))
+        assert full.along(word) == full.insert(word) == best(word)[::-1]
+    small = token_counts.Trie(scores, most=50)  # starts anew again and again, with the same results
+    texts = ["".join(rng.choice(list("etaoin")) for _ in range(9)) + " again and again" for _ in range(60)] + ["x" * 5000]
+    assert small.count(texts) == token_counts.Trie(scores).count(texts) and small.nodes < 200
+
+
+def test_long_words(spark, library):
+    """Words of thousands of letters, which are merged rank by rank, among short ones."""
+    rng = np.random.default_rng(8)
+    model = bpe.merge_rounds(bpe.default_path())
+    texts = ["".join(rng.choice(list("abcdefthe漢é")) for _ in range(n)) for n in (257, 400, 3000)] + ["a" * 1001, "ab" * 700 + " short words too", "ha" * 600 + "h " + "x" * 300]
+    found = [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [model.decode(x) for x in found] == texts
+
+
+def test_plan_uses_pairs_and_triples():
+    """Gaps are filled by pairs and triples where there are enough of them, and no plan is worse than best fit alone."""
+    counts = {700: 40, 200: 100, 124: 100, 108: 300, 624: 30, 100: 200, 300: 30}
+    by = defaultdict(list)
+    for s in packing.plan(counts, 1024):
+        by[s.sequence].append((s.length, s.count))
+    kinds = Counter()
+    for group in by.values():
+        if sum(n for n, _ in group) == 1024:
+            kinds[len(group)] += group[0][1]
+    assert kinds[3] and kinds[4]
+    assert sum(g[0][1] for g in by.values()) <= max(s.sequence + s.count for s in packing.plan(counts, 1024, kept=1.0))
 
 
 def test_lm_scores(spark):
