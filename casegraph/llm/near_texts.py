@@ -222,6 +222,26 @@ def meeting_pairs(sketches: DataFrame, known: DataFrame, threshold: float, work:
     return work.table(likely.distinct(), "likely")
 
 
+def _star(known: DataFrame) -> DataFrame:
+    """The fewest links that make the same components."""
+    return known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def _some_of_each(pairs: DataFrame) -> DataFrame:
+    """For each end of pairs at most four of its pairs."""
+    ends = pairs.select(F.col("a").alias("n"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("n"), F.col("a").alias("other")))
+    picks = [F.min_by("other", F.xxhash64("other", F.lit(i))).alias(f"p{i}") for i in range(4)]
+    few = ends.groupBy("n").agg(*picks).select("n", F.explode(F.array(*[f"p{i}" for i in range(4)])).alias("other"))
+    return few.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component."""
+    part = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+    placed = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """docs without copies and near copies: of each group the row of the least key (null keys last) stays, whole."""
     work = Workspace(docs.sparkSession, "near-texts")
@@ -240,8 +260,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     one = [F.first(c).alias(c) for c in ("id", "code", "size", "least", "rare", "bins")]
     sketches = work.table(made.groupBy("n").agg(least_key, *one), "sketches")
     linked = verified(simhash_pairs(sketches, radius, work), texts, threshold, words, work)
-    met = verified(meeting_pairs(sketches, components(linked, work), threshold, work, chunk), texts, threshold, words, work)
-    classes = components(linked.union(met), work).withColumnRenamed("node", "n")
+    known = components(linked, work)
+    likely = meeting_pairs(sketches, known, threshold, work, chunk)
+    # most likely pairs are links, and a few of them join up a large group: only pairs that those leave apart are compared as well
+    known = components(_star(known).union(verified(_some_of_each(likely), texts, threshold, words, work)), work)
+    found = verified(_apart(likely, known), texts, threshold, words, work)
+    classes = components(_star(known).union(found), work).withColumnRenamed("node", "n")
     named = sketches.select("n", "id", "least_key").join(classes, "n", "left").withColumn("component", F.coalesce("component", "n"))
     stay = named.groupBy("component").agg(F.min_by("id", F.struct("least_key", "id")).alias("id")).select("id")
     # of a text's copies the first row stays: whole rows are compared, before the shuffle and after it
