@@ -45,7 +45,7 @@ RECALL = 0.99
 FALSE_AT = (0.2, 0.25)
 CHUNK = 256
 #: Words whose hashes a worker keeps.
-KNOWN = 500_000
+KNOWN = 200_000
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd, so that their powers have inverses
 
 
@@ -152,7 +152,7 @@ def _units(bands: int, rows: int, least: int):
         hashes = _Hashes()
         for batch in batches:
             done = 0
-            for texts in in_batches(batch.column(1).to_pylist(), 2_000_000):
+            for texts in in_batches(batch.column(1).to_pylist(), 1_000_000):
                 words, owner, place, sizes = [], [], [], []
                 for i, text in enumerate(texts, done):
                     for p, line in enumerate(text.split("\n")):
@@ -202,7 +202,7 @@ def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for texts in in_batches(batch.column(0).to_pylist(), 2_000_000):
+            for texts in in_batches(batch.column(0).to_pylist(), 1_000_000):
                 found = list({b" ".join(words): words for text in texts for _, words in paragraphs(text, least)}.items())
                 sizes = np.array([len(w) for _, w in found], np.int64)
                 keys = _line_keys(hashes.of([w for _, ws in found for w in ws]), np.cumsum(sizes) - sizes, sizes)
