@@ -62,3 +62,43 @@ def claims_source(summary: DataFrame, register: DataFrame) -> DataFrame:
     from .relational import fallback_table
 
     return fallback_table(summary.withColumn("source", F.lit("summary")), register.withColumn("source", F.lit("register")))
+
+
+# Kinds of evidence; texts that say nothing.
+GROUPS = ["supporting_evidence", "partially_supporting_evidence", "contradicting_evidence", "unresolved_evidence"]
+NOTHING = ["none", "n/a", "-"]
+
+
+def text_list(items: Column) -> Column:
+    """Trimmed texts of an array, without those that say nothing."""
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: (x != "") & ~F.lower(x).isin(NOTHING))
+
+
+def amount_text(x: Column) -> Column:
+    """An amount as formatted, or as written where it can't be read; "" for none."""
+    said = F.trim(F.coalesce(x, F.lit("")))
+    return F.when(F.lower(said).isin("", "null", "none", "n/a"), F.lit("")).otherwise(F.coalesce(money.format_amount(money.parse_amount(said)), said))
+
+
+def evaluations(rows: DataFrame) -> DataFrame:
+    """Evaluations (claim_index, claim_id, result, claimed_amount, missing_evidence, claim, evidence_record_ids: the older single list) made
+    safe: an id, a known result (with the wording where it was another), amounts, and groups (kind, ord, ids) to check against
+    the ledger with evidence()."""
+    raw = F.when(result(F.col("result")) != F.regexp_replace(F.upper(F.trim(F.coalesce("result", F.lit("")))), r"[\s-]+", "_"), F.col("result"))
+    return rows.withColumns({
+        "claim_id": claim_id(F.col("claim_id"), F.col("claim_index")), "result_raw": raw, "result": result(F.col("result")), "claimed_amount": amount_text(F.col("claimed_amount")),
+        "missing_evidence": text_list(F.col("missing_evidence")), "parent_claim": F.trim(F.coalesce("claim", F.lit(""))),
+        "groups": F.when(F.size(F.coalesce("evidence_record_ids", F.array().cast("array<string>"))) > 0, F.array(F.struct(F.lit(GROUPS[0]).alias("kind"), F.lit(1).alias("ord"), F.array_distinct("evidence_record_ids").alias("ids")))),
+    })
+
+
+def strategy_rows(strategies: DataFrame, case: str) -> DataFrame:
+    """A strategy (primary and alternatives: structs of description, fact_ids; actions: structs of action_type, description, priority) as
+    rows: its theories, the primary one first, then its actions."""
+    theories = strategies.select(case, F.posexplode(F.concat(F.when(F.col("primary").isNotNull(), F.array("primary")).otherwise(F.array().cast(strategies.schema["alternatives"].dataType)), F.coalesce("alternatives", F.array().cast(strategies.schema["alternatives"].dataType)))).alias("at", "t"), F.col("primary").isNotNull().alias("_has"))
+    first = (F.col("at") == 0) & F.col("_has")
+    theory = theories.where("t IS NOT NULL").select(case, F.lit(0).alias("part"), "at", F.when(first, "primary").otherwise("alternative").alias("theory_type"), F.col("t.description").alias("theory_description"), F.to_json(F.coalesce("t.fact_ids", F.array().cast("array<string>"))).alias("facts_supporting_json"), F.lit("").alias("action_type"), F.lit("").alias("action_description"), F.lit("").alias("priority"))
+    actions = strategies.select(case, F.posexplode("actions").alias("at", "a")).where("a IS NOT NULL").select(
+        case, F.lit(1).alias("part"), "at", F.lit("").alias("theory_type"), F.lit("").alias("theory_description"), F.lit("[]").alias("facts_supporting_json"), F.coalesce("a.action_type", F.lit("")).alias("action_type"), F.coalesce("a.description", F.lit("")).alias("action_description"), F.coalesce(F.nullif("a.priority", F.lit("")), F.lit("medium")).alias("priority")
+    )
+    return theory.unionByName(actions)

@@ -91,3 +91,91 @@ def question_ids(questions: DataFrame, keys: list[str], order: str) -> DataFrame
 def shrunk(page: Column, trimmed: Column, bare: Column, most: int = 2000) -> Column:
     """The first of three forms of a page's record that fits into so many characters as JSON; the last if none does."""
     return F.when(jsonx.serialised_chars(page) <= most, F.to_json(page)).when(jsonx.serialised_chars(trimmed) <= most, F.to_json(trimmed)).otherwise(F.to_json(bare))
+
+
+# Lists of a review and how many of each go on to a merge; texts likewise.
+REVIEW_LISTS = ["questions", "blocking_gaps", "missing_information", "contradictions", "missing_evidence", "unverified_claims", "timeline_gaps", "party_gaps", "legal_reference_gaps", "recommended_actions", "source_ids"]
+MERGE_CAPS = {"blocking_gaps": 12, "missing_information": 18, "contradictions": 12, "missing_evidence": 12, "recommended_actions": 12, "source_ids": 40}
+
+
+def normalised(reviews: DataFrame) -> DataFrame:
+    """Reviews (lists of REVIEW_LISTS, completeness_score, is_complete, ready_for_analysis, summary, next_question as text) made
+    safe: distinct lists, a score of 0 to 100, flags, and the next question among the questions."""
+    none = F.array().cast("array<string>")
+    lists = {c: F.array_distinct(F.coalesce(c, none)) if c in reviews.columns else none for c in REVIEW_LISTS}
+    out = reviews.withColumns({
+        **lists,
+        "completeness_score": F.coalesce(jsonx.bounded_score(F.col("completeness_score")), F.lit(0)),
+        "is_complete": F.coalesce(jsonx.truth(F.col("is_complete")), F.lit(False)),
+        "ready_for_analysis": F.coalesce(jsonx.truth(F.col("ready_for_analysis")), F.lit(False)),
+        "summary": F.trim(F.coalesce("summary", F.lit(""))),
+        "next_question": F.trim(F.coalesce("next_question", F.lit(""))),
+    })
+    asked = F.col("next_question") != ""
+    known = F.array_contains("questions", F.col("next_question"))
+    return out.withColumns({
+        "questions": F.when(asked & ~known, F.concat(F.array("next_question"), F.col("questions"))).otherwise(F.col("questions")),
+        "next_question": F.when(asked, F.col("next_question")).otherwise(F.coalesce(F.get("questions", F.lit(0)), F.lit(""))),
+    })
+
+
+def for_merge(reviews: DataFrame) -> DataFrame:
+    """Normalised reviews with short texts and the first entries of each list; all kinds of gaps are missing information."""
+    gaps = F.array_distinct(F.concat("missing_information", "party_gaps", "timeline_gaps", "legal_reference_gaps", "unverified_claims"))
+    united = reviews.withColumns({"missing_information": gaps, "summary": text.truncate(F.col("summary"), 1200), "next_question": text.truncate(F.col("next_question"), 500)})
+    return united.withColumns({c: F.slice(c, 1, n) for c, n in MERGE_CAPS.items()}).drop(*[c for c in REVIEW_LISTS if c not in MERGE_CAPS and c != "questions"])
+
+
+def merge_groups(reviews: DataFrame, keys: list[str], order: str, chars: int = MERGE_CHARS) -> DataFrame:
+    """Reviews for a merge with chunk_no: consecutive ones within so many characters."""
+    payload = F.struct(*[c for c in reviews.columns if c not in (*keys, order)])
+    return chunk_by_cost(reviews.withColumn("_cost", jsonx.serialised_chars(payload).cast("long")), keys, order, "_cost", chars, chars).drop("_cost")
+
+
+def merge_tree(parts: DataFrame, keys: list[str], order: str, lists: list[str], chars: int = MERGE_CHARS, levels: int = 8) -> DataFrame:
+    """merge_reviews() level by level: groups within chars are merged until every key has one group, or until a level merges
+    nothing more; then what is left is merged at once. parts: keys, order, score, is_complete, is_ready, lists, summary."""
+    columns = [order, "score", "is_complete", "is_ready", *lists, "summary"]
+    now, before = parts.select(*keys, *columns), None
+    for _ in range(levels):
+        sized = now.withColumn("_cost", jsonx.serialised_chars(F.struct(*columns)).cast("long"))
+        numbered = chunk_by_cost(sized, keys, order, "_cost", chars, chars).drop("_cost")
+        groups, most = numbered.select(*keys, "chunk_no").distinct().agg(F.count(F.lit(1)), F.max("chunk_no")).first()
+        if groups == before or (most or 0) <= 1:
+            break
+        before = groups
+        now = merge_reviews(numbered, [*keys, "chunk_no"], order, lists).withColumnRenamed("chunk_no", order).select(*keys, *columns)
+    return merge_reviews(now, keys, order, lists)
+
+
+def section_batches(sections: dict[str, DataFrame], keys: list[str], order: str, base: DataFrame, chars: int = BATCH_CHARS, most: int = BATCH_ITEMS) -> DataFrame:
+    """Batches of all sections of each key: keys, section, chunk_no, items (JSON, in order). A key of base without any item has one
+    batch of section "case". Items that alone pass the limit fail the query: they can't be sent."""
+    found = []
+    for name, items in sections.items():
+        record = F.to_json(F.struct(*[c for c in items.columns if c not in keys]))
+        rows = items.select(*keys, order, record.alias("item")).withColumn("_cost", F.char_length("item").cast("long"))
+        fits = F.when(F.col("_cost") <= chars, F.col("_cost")).otherwise(F.raise_error(F.lit(f"an item of {name} passes {chars} characters")).cast("long"))
+        numbered = chunk_by_cost(rows.withColumn("_cost", fits), keys, order, "_cost", chars, chars, most)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "item"))), lambda x: x["item"])
+        found.append(numbered.groupBy(*keys, "chunk_no").agg(listed.alias("items")).withColumn("section", F.lit(name)))
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.unionByName(f)
+    bare = base.select(*keys).join(all_.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(1).alias("chunk_no"), F.array().cast("array<string>").alias("items"), F.lit("case").alias("section"))
+    return all_.unionByName(bare)
+
+
+def reply(actions: Column, acknowledgement: Column, most_questions: int = 3) -> Column:
+    """An interviewer's answer: the acknowledgement, evidence that is asked for, up to three questions, what is to be confirmed.
+    actions: array<struct<action_type, question, evidence_type, evidence_description>>."""
+    of = lambda kind: F.filter(actions, lambda a: a["action_type"] == kind)
+    numbered = lambda items, shown: F.array_join(F.transform(items, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), shown(a))), "\n")
+    block = lambda title, items, body: F.when(F.size(items) > 0, F.concat(F.lit(f"### {title}\n"), body))
+    evidence, asked, confirmed = of("request_evidence"), F.slice(F.filter(of("ask_question"), lambda a: F.trim(F.coalesce(a["question"], F.lit(""))) != ""), 1, most_questions), F.filter(of("confirm_fact"), lambda a: F.trim(F.coalesce(a["question"], F.lit(""))) != "")
+    piece = lambda a: F.concat_ws(": ", F.coalesce(F.nullif(F.trim(a["evidence_type"]), F.lit("")), F.lit("document")), F.nullif(F.trim(a["evidence_description"]), F.lit("")))
+    nothing = F.when(F.size(actions) == 0, F.lit("Nothing more is needed."))
+    return F.concat_ws(
+        "\n\n", F.nullif(F.trim(acknowledgement), F.lit("")), block("Evidence", evidence, numbered(evidence, piece)), block("Questions", asked, numbered(asked, lambda a: F.trim(a["question"]))),
+        block("To confirm", confirmed, F.array_join(F.transform(confirmed, lambda a: F.concat(F.lit("- "), F.trim(a["question"]))), "\n")), nothing,
+    )
