@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, in_batches
-from .words import library_encoder
+from .words import WORDS, library_encoder
 from .workspace import Workspace
 
 CAPACITY = 1024
@@ -196,18 +196,26 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(s, min(capacity, (first or capacity) if s == 0 else capacity)) for s in starts]
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32 (and ids, array<int>) of every piece of every document; a null text is empty."""
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """Texts of a column as they are needed: a batch as Python's strings takes several times its room."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int = WORDS) -> DataFrame:
+    """key, piece, start, length, ids_crc32 (and ids, array<int>) of every piece of every document; a null text is empty. A worker
+    keeps the ids of kept_words words: fewer take more time and less memory."""
     path = path or default_path()
     kind = docs.schema[key].dataType.simpleString()
     extra = ", ids array<int>" if with_ids else ""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path)
+        pa.default_memory_pool().release_unused()  # what other stages have left in a worker
+        encoder = library_encoder(path, kept_words)
         for batch in batches:
             at = 0
-            for texts in in_batches(batch.column(1).to_pylist()):
+            for texts in in_batches(_texts(batch.column(1)), 1_000_000):
                 rows: list[list] = [[], [], [], [], [], []]
                 for i, octets in enumerate(encoder.encode(texts), at):
                     octets += end
@@ -226,8 +234,8 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{extra}")
 
 
-def packed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int = WORDS) -> DataFrame:
     """token_pieces() with sequence_id and offset."""
     work = Workspace(docs.sparkSession, "packing")
-    pieces = work.table(token_pieces(docs, key, text, path, end_id, capacity, with_ids), "pieces")
+    pieces = work.table(token_pieces(docs, key, text, path, end_id, capacity, with_ids, kept_words), "pieces")
     return pack(pieces, [key, "piece", "ids_crc32"], capacity=capacity)

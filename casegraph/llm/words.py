@@ -99,9 +99,9 @@ class LibraryEncoder(WordEncoder):
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    """One encoder a worker process."""
+def library_encoder(path: str, words: int = WORDS) -> LibraryEncoder:
+    """One encoder a worker process, which keeps so many words."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, words)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from casegraph.llm import near_texts, packing, quality, suffix_dedup
 from casegraph.llm.workspace import Workspace
 
+#: Words that a packing worker keeps: executors hold the memory of three other stages by then.
+KEPT_WORDS = 250_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,7 +41,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence, and its token ids."""
-    return packing.packed_documents(docs, with_ids=True)
+    return packing.packed_documents(docs, with_ids=True, kept_words=KEPT_WORDS)
 
 
 STAGES = [
