@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import review
 from .graph import neighbours
+from .jsontree import named_values
 from .relational import known_ids, systematic_sample
 
 # Kinds of agreement that a classification may give, the keys under which ids stand in nested records.
@@ -62,11 +63,12 @@ def pages_to_classify(pages: DataFrame, agreement: str) -> DataFrame:
     return systematic_sample(pages, [agreement], ["place"], place="_at").drop("_at")
 
 
-def harvested_ids(records: DataFrame, keys: list[str], json: str) -> DataFrame:
-    """keys, id: every text or number that stands under one of ID_KEYS anywhere in a JSON text, distinct."""
-    member = r'"(?i:' + "|".join(ID_KEYS) + r')"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[0-9]+))'
-    found = F.concat(F.regexp_extract_all(json, F.lit(member), F.lit(1)), F.regexp_extract_all(json, F.lit(member), F.lit(2)))
-    return records.select(*keys, F.explode(F.transform(found, lambda x: F.trim(x))).alias("id")).where("id <> ''").distinct()
+def harvested_ids(records: DataFrame, keys: list[str], sections: str | list[str]) -> DataFrame:
+    """keys, id: every text or number that stands under one of ID_KEYS anywhere in the JSON texts of the sections, distinct.
+    Blank ones and a number 0 are no ids."""
+    columns = [sections] if isinstance(sections, str) else sections
+    found = F.concat(*[F.coalesce(named_values(F.col(c), ID_KEYS), F.array().cast("array<struct<name:string,value:string>>")) for c in columns])
+    return records.select(*keys, F.explode(F.transform(found, lambda m: F.trim(m["value"]))).alias("id")).where("id <> ''").distinct()
 
 
 def answered(answers: DataFrame, allowed: DataFrame, keys: list[str], cited: str = "source_ids", otherwise: str = "The records do not say enough to answer this.") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
+from .jsontree import rewritten
 
 # Fields, the columns that they come from and their caps, by kind of record.
 CHAT = {
@@ -71,16 +72,11 @@ def compact_pages(pages: DataFrame, case: str, most: int | None = None, chars: i
     return out.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= most).drop("_n")
 
 
-def without_keys(x: Column, forbidden: list[str] = tuple(FORBIDDEN)) -> Column:
-    """A JSON text without the members that have one of these names, at any depth; their values are texts, numbers or flat lists.
-
-    Members are matched as text: a name, a colon and a value, with the comma after it or before it.
-    """
-    names = "|".join(forbidden)
-    value = r'(?:"(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false|null|\[[^\[\]{}]*\])'
-    member = rf'"(?i:{names})"\s*:\s*{value}'
-    bare = F.regexp_replace(F.regexp_replace(x, rf"{member}\s*,\s*", ""), rf",?\s*{member}", "")
-    return F.when(x.isNotNull(), bare)
+def without_keys(df: DataFrame, keys: list[str], json: str, forbidden: list[str] = tuple(FORBIDDEN), most: int | None = 1500) -> DataFrame:
+    """keys and json (a state's text) without members of these names at any depth, be they texts, lists or objects; texts are cut to
+    most characters. What is no JSON becomes null, so nothing unread passes."""
+    fix = (lambda x: F.when(F.char_length(x) > most, text.truncate(F.trim(x), most)).otherwise(x)) if most else None
+    return rewritten(df, keys, json, forbidden, fix)
 
 
 def whitelisted(state: DataFrame) -> DataFrame:

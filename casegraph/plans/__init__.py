@@ -1,4 +1,4 @@
 """Queries over the driver's tables. Importing the package registers all of them."""
 
-from . import cases, pipelines, records, reviews  # noqa: F401
+from . import cases, pipelines, records, reviews, search, trees  # noqa: F401
 from .registry import QUERIES, SQL, table  # noqa: F401

@@ -38,7 +38,7 @@ def q112_compact_pages(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT event_id, '{"a":1,"n":{"b":2},"props":' || props || '}' AS state FROM events""")
 def q113_without_keys(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.lit('{"a":1,"page_text":"x \\"q\\", y","n":{"RAW_CONTENT":[1,2],"b":2},"props":'), "props", F.lit(',"full_text":null}'))
-    return table(spark, sf, "events").select("event_id", projections.without_keys(said).alias("state"))
+    return projections.without_keys(table(spark, sf, "events").select("event_id", said.alias("state")), ["event_id"], "state")
 
 
 @query("""SELECT o_orderkey, '{"record_id":"' || o_orderkey || '","description":"' || o_orderpriority || '"' || CASE WHEN o_orderstatus <> 'F' THEN ',"currency":"' || o_orderstatus || '"' ELSE '' END || ',"reviewer_note":"seen"}' AS record FROM orders""")
