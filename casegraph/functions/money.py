@@ -41,7 +41,8 @@ def parse_amount(x: Column) -> Column:
         negative = lambda f: (F.trim(shown).startswith("(") & F.trim(shown).endswith(")")) | f.startswith("-") | f.endswith("-")
         return let(figures, lambda f: let(_plain_number(F.trim(F.replace(f, F.lit("-"), F.lit("")))), lambda v: F.when(negative(f), -v).otherwise(v)))
 
-    return F.when(x.isNotNull(), let(text, signed)).cast(AMOUNT)
+    # most amounts are printed plainly; the same value comes from one pattern
+    return F.when(x.rlike(r"^(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)\.[0-9]{1,2}$"), F.replace(x, F.lit(","), F.lit("")).try_cast(AMOUNT)).when(x.isNotNull(), let(text, signed)).cast(AMOUNT)
 
 
 def _plain_number(figures: Column) -> Column:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 
 # Names of the two workflows, severities in order, roles that are shown.
-WORKFLOWS = {"litigation": "litigation", "litigation_case": "litigation", "litigation case": "litigation", "case": "litigation", "legal_case": "litigation", "agreement": "agreement_review", "agreement_review": "agreement_review", "agreement review": "agreement_review", "contract": "agreement_review", "contract_review": "agreement_review", "contract review": "agreement_review"}
+WORKFLOWS = {"litigation": "litigation", "litigation_case": "litigation", "litigation case": "litigation", "case": "litigation", "agreement": "agreement_review", "agreement_review": "agreement_review", "agreement review": "agreement_review", "contract": "agreement_review", "contract_review": "agreement_review", "contract review": "agreement_review"}
 SEVERITY = ["critical", "high", "medium", "low"]
 ROLES = ["user", "assistant"]
 
 
-def workflow_type(x: Column) -> Column:
-    """The workflow that a name stands for (litigation if there is none); an unknown name fails the query."""
-    names = F.create_map(*[F.lit(v) for pair in WORKFLOWS.items() for v in pair])
+def workflow_type(x: Column, aliases: dict[str, str] = WORKFLOWS) -> Column:
+    """The workflow that a name stands for (litigation if there is none); a name that aliases doesn't have fails the query."""
+    names = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
     said = F.lower(F.trim(F.coalesce(F.nullif(x, F.lit("")), F.lit("litigation"))))
     return F.coalesce(F.try_element_at(names, said), F.raise_error(F.concat(F.lit("unknown workflow type: "), said)).cast("string"))
 
@@ -38,13 +38,18 @@ def latest_cases(rows: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 def cards(cases: DataFrame) -> DataFrame:
-    """What a list shows of a case; sort by updated_at, last first."""
+    """What a list shows of a case; card_order() sorts them."""
     first = lambda *names: F.coalesce(text.first_filled(*[F.col(n).cast("string") for n in names if n in cases.columns]), F.lit("")) if set(names) & set(cases.columns) else F.lit("")
     activity = F.coalesce(F.nullif(first("updated_at", "created_at"), F.lit("")), F.lit("—"))
     shown = F.when(activity.contains("T"), F.substring(F.replace(activity, F.lit("T"), F.lit(" ")), 1, 16)).otherwise(activity)
     return cases.select("case_id", ids.short_reference(F.col("case_id")).alias("reference"), first("case_name", "client_name", "customer_name").alias("title"), first("matter_type").alias("matter"), first("responsible_attorney", "created_by").alias("attorney"), shown.alias("activity"), first("workflow_status", "case_status").alias("status"))
 
 
+def card_order() -> list[Column]:
+    """Cards with the last activity first; those without any come last, ids break ties."""
+    return [(F.col("activity") == "—").asc(), F.col("activity").desc(), F.col("case_id").asc()]
+
+
 def selected_pages(pages: DataFrame, documents: DataFrame, page_id: str = "page_id", document: str = "case_document_id") -> DataFrame:
     """Ids of the pages of chosen documents."""
     return pages.where(F.col(page_id).isNotNull()).join(documents.select(document), document, "left_semi").select(page_id)

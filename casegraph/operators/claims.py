@@ -92,6 +92,42 @@ def evaluations(rows: DataFrame) -> DataFrame:
     })
 
 
+ENTRY = "struct<record_ids:array<string>,record_id:string,explanation:string,description:string>"
+
+
+def grouped_evidence(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evaluations (claim_id; the arrays of ENTRY in GROUPS, financial_evidence_found and contradictions; evidence_record_ids) against the
+    ledger (row_id): entries (claim_id, kind, ord, text, ids) and per claim the unverified ids, in order of their text.
+
+    The older lists count only where a claim has no group for them once unknown records have gone: record ids as one entry of supporting
+    evidence, contradictions as contradicting evidence. An entry that rests on unknown records alone goes; so does one with neither ids nor text.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c, kind: rows.select("claim_id", F.lit(kind).alias("kind"), F.posexplode(F.col(c).cast(f"array<{ENTRY}>")).alias("ord", "e"))
+
+    def entries(df: DataFrame) -> DataFrame:
+        ids = F.concat(F.coalesce("e.record_ids", none), F.when(F.coalesce("e.record_id", F.lit("")) != "", F.array("e.record_id")).otherwise(none))
+        said = F.trim(F.coalesce(F.nullif("e.explanation", F.lit("")), F.col("e.description"), F.lit("")))
+        return df.select("claim_id", "kind", "ord", said.alias("text"), F.array_distinct(F.filter(ids, lambda x: F.trim(x) != "")).alias("ids"))
+
+    def checked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        kept, loose = evidence(df, known)
+        return kept.where((F.size("ids") > 0) | (F.col("text") != "")), loose
+
+    groups = listed(GROUPS[0], GROUPS[0])
+    for g in GROUPS[1:]:
+        groups = groups.union(listed(g, g))
+    kept, loose = checked(entries(groups))
+    has = lambda *kinds: kept.where(F.col("kind").isin(*kinds)).select("claim_id").distinct()
+    found = F.transform(F.coalesce(F.col("financial_evidence_found").cast(f"array<{ENTRY}>"), F.array().cast(f"array<{ENTRY}>")), lambda e: F.coalesce(e["record_id"], F.lit("")))
+    older_ids = F.array_distinct(F.filter(F.concat(F.coalesce("evidence_record_ids", none), found), lambda x: F.trim(x) != ""))
+    older = rows.select("claim_id", F.lit(GROUPS[0]).alias("kind"), F.lit(0).alias("ord"), F.lit("").alias("text"), older_ids.alias("ids")).where(F.size("ids") > 0).join(has(*GROUPS[:2]), "claim_id", "left_anti")
+    against = entries(listed("contradictions", GROUPS[2])).join(has(GROUPS[2]), "claim_id", "left_anti")
+    kept_older, loose_older = checked(older.union(against))
+    unverified = loose.union(loose_older).groupBy("claim_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unverified")))).alias("unverified"))
+    return kept.unionByName(kept_older), unverified
+
+
 def strategy_rows(strategies: DataFrame, case: str) -> DataFrame:
     """A strategy (primary and alternatives: structs of description, fact_ids; actions: structs of action_type, description, priority) as
     rows: its theories, the primary one first, then its actions."""

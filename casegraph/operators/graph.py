@@ -54,7 +54,7 @@ def related(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, types: list[st
 
 
 def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, max_total: int, max_children: int = 10, max_depth: int = MAX_DEPTH, group: list[str] = ()) -> DataFrame:
-    """Each hit (node_id, seed_ord) with its parent, ancestors, first children and related nodes: node_id, label, seed_ord.
+    """Each hit (node_id, seed_ord, a whole number) with its parent, ancestors, first children and related nodes: node_id, label, seed_ord.
 
     A node is listed once, under the first label that reaches it (hits in order; in a hit: retrieved, parent, ancestor,
     child, related). No further hit is expanded once max_total nodes are there; the hit that reaches it is whole.
@@ -74,11 +74,9 @@ def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, max_total:
     )
     listed = seeds.select(*g, F.col("node_id").alias("seed"), "seed_ord").join(reach, "seed")
     first = listed.withColumn("_n", F.row_number().over(Window.partitionBy(*g, "node_id").orderBy("seed_ord", "kind", "pos", "label"))).where(F.col("_n") == 1).drop("_n")
-    # nodes listed before a hit decide whether it is expanded at all
-    sizes = first.groupBy(*g, "seed_ord").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*g).orderBy("seed_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = sizes.withColumn("_before", before).where(F.col("_before") < max_total).select(*g, "seed_ord")
-    return first.join(open_, [*g, "seed_ord"], "left_semi").select(*g, "node_id", "label", "seed_ord", "kind", "pos")
+    # nodes listed before a hit decide whether it is expanded at all; kept with each node, so the list is not joined with itself
+    before = F.count(F.lit(1)).over(Window.partitionBy(*g).orderBy("seed_ord").rangeBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("_before", before).where(F.col("_before") < max_total).select(*g, "node_id", "label", "seed_ord", "kind", "pos")
 
 
 def neighbours(edges: DataFrame, a: str, b: str, most: int = 12) -> DataFrame:

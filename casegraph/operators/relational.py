@@ -26,14 +26,24 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
 
 
 def first_wins_merge(df: DataFrame, keys: list[str], order: str, fields: list[str], lists: list[str] = ()) -> DataFrame:
-    """One row a key: of each field the first non-empty value in order, of each list the ordered union, and merged_count."""
+    """One row a key: of each field the first non-empty value in order, of each list the ordered union, and merged_count.
+
+    Elements of lists are reduced to distinct ones (with their first place) before a key's come together, so a key with many rows
+    sends what its result holds, not what its rows hold.
+    """
     # min_by passes over rows whose ordering value is null
     filled = [F.min_by(c, F.when(F.trim(F.col(c).cast("string")) != "", F.col(order))).alias(c) for c in fields]
-    unions = [
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("v")))), lambda x: x["v"]))).alias(c)
-        for c in lists
-    ]
-    return df.groupBy(*keys).agg(F.min(order).alias(order), *filled, *unions, F.count(F.lit(1)).alias("merged_count"))
+    out = df.groupBy(*keys).agg(F.min(order).alias(order), *filled, F.count(F.lit(1)).alias("merged_count"))
+    for c in lists:
+        long = df.select(*keys, F.col(order).alias("_o"), F.posexplode(c).alias("_at", "_v"))
+        first = long.groupBy(*keys, "_v").agg(F.min(F.struct("_o", "_at")).alias("_first"))
+        united = F.transform(F.array_sort(F.collect_list(F.struct("_first", "_v"))), lambda x: x["_v"])
+        per = first.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(united.alias(c))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(per, same, "left").drop(*[f"_k{i}" for i in range(len(keys))]).withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out.select(*keys, order, *fields, *lists, "merged_count")
 
 
 def new_by_signature(batch: DataFrame, known: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -124,9 +134,12 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
 
 
 def fingerprint(df: DataFrame, keys: list[str], fields: list[str], digits: int = 16) -> DataFrame:
-    """A hash of each key's rows that does not depend on their order."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
-    return df.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256), 1, digits).alias("fingerprint"))
+    """A hash of each key's rows, as a multiset: it does not depend on their order. Row hashes are added up (two sums of 60 bits each, and
+    the count), so rows of a key combine before the shuffle and never stand together."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256)
+    part = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    whole = F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16))
+    return df.groupBy(*keys).agg(F.substring(F.sha2(whole, 256), 1, digits).alias("fingerprint"))
 
 
 def fallback_table(preferred: DataFrame, other: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, jsonx, text
-from .relational import chunk_by_cost, ranked, stitch, undirected
+from ..session import materialised
+from .relational import chunk_by_cost, new_by_signature, ranked, stitch, undirected
 
 # Limits of a batch and of a merge, in characters, and items a batch.
 BATCH_CHARS, MERGE_CHARS, BATCH_ITEMS = 24_000, 26_000, 30
@@ -144,7 +145,8 @@ def merge_tree(parts: DataFrame, keys: list[str], order: str, lists: list[str],
         if groups == before or (most or 0) <= 1:
             break
         before = groups
-        now = merge_reviews(numbered, [*keys, "chunk_no"], order, lists).withColumnRenamed("chunk_no", order).select(*keys, *columns)
+        # written, so that a level starts from the one before, not from the first
+        now = materialised(merge_reviews(numbered, [*keys, "chunk_no"], order, lists).withColumnRenamed("chunk_no", order).select(*keys, *columns))
     return merge_reviews(now, keys, order, lists)
 
 
@@ -166,6 +168,24 @@ def section_batches(sections: dict[str, DataFrame], keys: list[str], order: str,
     return all_.unionByName(bare)
 
 
+def follow_up_evidence(actions: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Evidence to ask for, from a review's actions (keys, order, action_type, evidence_type, evidence_description, referenced_in_document,
+    reason): only request_evidence counts. keys, order, evidence_title, evidence_type, description and the statuses of a request.
+
+    The description says where a document was referred to and what it is for. What existing (keys, evidence_type, description) has
+    already, or an earlier action asks for, is left out: type and description are compared in lower case with single blanks.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    given = lambda c, before, after: F.when(said(c) != "", F.concat(F.lit(before), said(c), F.lit(after)))
+    whole = F.concat_ws("\n", F.nullif(said("evidence_description"), F.lit("")), given("referenced_in_document", "Referenced in document: ", "."), given("reason", "Purpose: ", ""))
+    signed = lambda df, kind, description: df.withColumns({"_kind": text.squeeze(kind), "_said": text.squeeze(description)})
+    asked = actions.where(F.col("action_type") == "request_evidence").select(*keys, order, said("evidence_type").alias("evidence_type"), whole.alias("description"))
+    new = new_by_signature(signed(asked, F.col("evidence_type"), F.col("description")), signed(existing, F.col("evidence_type"), F.col("description")), [*keys, "_kind", "_said"], [order])
+    fixed = {"authenticity_status": "not_received", "completeness_status": "not_received", "relevance_status": "requested", "reliability_status": "not_assessed", "review_status": "requested"}
+    title = F.coalesce(F.nullif("evidence_type", F.lit("")), F.lit("Requested evidence"))
+    return new.select(*keys, order, title.alias("evidence_title"), "evidence_type", "description", *[F.lit(v).alias(c) for c, v in fixed.items()])
+
+
 def reply(actions: Column, acknowledgement: Column, most_questions: int = 3) -> Column:
     """An interviewer's answer: the acknowledgement, evidence that is asked for, up to three questions, what is to be confirmed.
     actions: array<struct<action_type, question, evidence_type, evidence_description>>."""

@@ -28,15 +28,6 @@ def latest_states(log: DataFrame, keys: list[str], order: list[str], json: str)
     return latest_by_key(log, keys, order).withColumn(json, F.when(good, F.col(json)).otherwise(F.lit("{}")))
 
 
-def restored(sources: list[DataFrame], key: str) -> DataFrame:
-    """Of each key the state from the first source that has one (newest format first)."""
-    ranked = sources[0].withColumn("_source", F.lit(0))
-    for n, s in enumerate(sources[1:], 1):
-        ranked = ranked.unionByName(s.withColumn("_source", F.lit(n)))
-    rest = [c for c in sources[0].columns if c != key]
-    return ranked.groupBy(key).agg(F.min_by(F.struct(*rest), "_source").alias("_s")).select(key, *[F.col(f"_s.{c}").alias(c) for c in rest])
-
-
 def merge_stage_events(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """events: keys, stage, status, error, job_id, at (later rows patch earlier ones, null fields patch nothing).
 
@@ -115,7 +106,54 @@ def accounting_status(pending: Column, line_items: Column, current: Column) -> C
 
 
 def stale_summaries(cases: DataFrame, uploads: DataFrame, key: str, approved_at: str, uploaded_at: str) -> DataFrame:
-    """Cases with an upload after the approval, or with an approval that can't be read."""
-    later = uploads.select(F.col(key), F.col(uploaded_at).alias("_up"))
-    hit = cases.join(later, (cases[key] == later[key]) & (F.col("_up") > F.col(approved_at)), "left_semi")
-    return hit.union(cases.where(F.col(approved_at).isNull()))
+    """Cases with an upload after the approval, or with an approval that can't be read. Of a case's uploads only the last is joined."""
+    last = uploads.groupBy(F.col(key).alias("_key")).agg(F.max(uploaded_at).alias("_up"))
+    joined = cases.join(last, F.col(key) == F.col("_key"), "left")
+    return joined.where(F.col(approved_at).isNull() | (F.col("_up") > F.col(approved_at))).select(*cases.columns)
+
+
+# What a case's state holds, and what a blank one is: JSON texts, plain texts and flags.
+STATE_JSON = {"attorney_summary": None, "research": None, "analysis": None, "strategy": None, "memo": None, "pleading_versions": "[]", "stages": "{}"}
+STATE_TEXTS = {"summary_approved_by": "", "accounting_status": "not_started", "accounting_dirty_reason": "", "accounting_instructions": "", "pleading_status": "draft", "pleading_finalised_by": "", "dirty_reason": ""}
+STATE_FLAGS = {"summary_approved": False, "accounting_dirty": False, "case_dirty": False}
+STATE_ENTITY, SUMMARY_ENTITY, STATE_KEEPER = "case_workflow", "case_summary", "UI_STATE_MANAGER"
+
+
+def restored_state(cases: DataFrame, audits: DataFrame, approvals: DataFrame, key: str) -> DataFrame:
+    """Each case's state: key, source (0 to 2, null for a blank state) and a column for each name of STATE_*.
+
+    From the first of three sources that has a JSON object for the case, its last one: audit rows of the workflow (key, entity_type, new_value_json,
+    event_at, actor), the older state records among approvals (key, approved_by, summary_json, timestamp), or a summary alone from the audits,
+    which counts as approved, by the actor of its last row. Only known names are taken over (a null too), the others
+    are blank; a strategy of true is none, stages that are no object and versions that are no list are empty. event_at and timestamp are
+    unique within a case.
+    """
+    said = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("{}"))
+    usable = lambda c: F.try_parse_json(said(c)).isNotNull() & F.trim(said(c)).startswith("{")
+
+    def last(rows: DataFrame, value: str, order: str, source: int, by: Column) -> DataFrame:
+        own = rows.groupBy(key).agg(F.max_by(said(value), F.when(usable(value), F.col(order))).alias("_payload"), F.max_by(by, order).alias("_by"))
+        return own.where(F.col("_payload").isNotNull()).select(key, F.lit(source).alias("source"), "_payload", "_by")
+
+    nobody = F.lit(None).cast("string")
+    found = (
+        last(audits.where(F.col("entity_type") == STATE_ENTITY), "new_value_json", "event_at", 0, nobody)
+        .unionByName(last(approvals.where(F.col("approved_by") == STATE_KEEPER), "summary_json", "timestamp", 1, nobody))
+        .unionByName(last(audits.where(F.col("entity_type") == SUMMARY_ENTITY), "new_value_json", "event_at", 2, F.coalesce("actor", F.lit(""))))
+    )
+    first = found.groupBy(key).agg(F.min_by(F.struct("source", "_payload", "_by"), "source").alias("_s"))
+    rows = cases.select(key).distinct().join(first, key, "left").select(key, "_s.source", "_s._payload", "_s._by")
+    whole = F.coalesce(F.col("source") < 2, F.lit(False))
+    names = F.json_object_keys("_payload")
+    given = lambda n: whole & F.coalesce(F.array_contains(names, n), F.lit(False))
+    value = lambda n: F.get_json_object("_payload", f"$.{n}")
+    out = {n: F.when(given(n), value(n)).otherwise(F.lit(blank).cast("string")) for n, blank in {**STATE_JSON, **STATE_TEXTS}.items()}
+    out |= {n: F.when(given(n), F.coalesce(value(n) == "true", F.lit(False))).otherwise(F.lit(blank)) for n, blank in STATE_FLAGS.items()}
+    summary = F.coalesce(F.col("source") == 2, F.lit(False))
+    out["attorney_summary"] = F.when(summary, F.col("_payload")).otherwise(out["attorney_summary"])
+    out["summary_approved"] = summary | out["summary_approved"]
+    out["summary_approved_by"] = F.when(summary, F.col("_by")).otherwise(out["summary_approved_by"])
+    out["strategy"] = F.when(out["strategy"] != "true", out["strategy"])
+    out["stages"] = F.when(F.coalesce(out["stages"].startswith("{"), F.lit(False)), out["stages"]).otherwise(F.lit("{}"))
+    out["pleading_versions"] = F.when(F.coalesce(out["pleading_versions"].startswith("["), F.lit(False)), out["pleading_versions"]).otherwise(F.lit("[]"))
+    return rows.select(key, "source", *[c.alias(n) for n, c in out.items()])

@@ -144,7 +144,7 @@ def q100_case_cards(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT CASE c_custkey % 3 WHEN 0 THEN 'agreement_review' ELSE 'litigation' END AS workflow, count(*) AS n FROM customer GROUP BY 1""")
 def q101_workflow_names(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey") % 3
-    return table(spark, sf, "customer").select(cases.workflow_type(F.when(k == 0, " Contract Review").when(k == 1, "legal_case")).alias("workflow")).groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "customer").select(cases.workflow_type(F.when(k == 0, " Contract Review").when(k == 1, "dispute"), {**cases.WORKFLOWS, "dispute": "litigation"}).alias("workflow")).groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role IN ('user', 'assistant')""")
@@ -152,10 +152,10 @@ def q102_conversation(spark: SparkSession, sf: str) -> DataFrame:
     return cases.conversation(table(spark, sf, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH h AS (SELECT c_nationkey AS nation, 0 AS n, 'customer' AS kind, c_custkey AS o FROM customer WHERE contains(lower(c_name), '#0000') AND contains(lower(c_name), '1') OR contains(lower(c_mktsegment), '#00001') UNION ALL SELECT s_nationkey, 1, 'supplier', s_suppkey FROM supplier WHERE contains(lower(s_name), '#00000')),
+@query("""WITH h AS (SELECT c_nationkey AS nation, 0 AS n, 'customer' AS kind, c_custkey AS o FROM customer WHERE contains(lower(c_name), '#00000') OR contains(lower(c_mktsegment), '#00000') UNION ALL SELECT s_nationkey, 1, 'supplier', s_suppkey FROM supplier WHERE contains(lower(s_name), '#00000')),
 r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY n, o) AS place, count(*) OVER (PARTITION BY nation) AS total FROM h) SELECT nation, kind, o AS ord, place, total FROM r WHERE place <= 25""")
 def q103_search_all(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").where(F.contains("c_name", F.lit("1"))).select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("ord"), "c_name", "c_mktsegment")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("ord"), "c_name", "c_mktsegment")
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("ord"), "s_name")
     hits, totals = cases.search_all("#00000", {"customer": (c, ["c_name", "c_mktsegment"]), "supplier": (s, ["s_name"])}, ["nation"], "ord")
     return hits.join(totals, "nation").select("nation", "kind", "ord", F.col("place").cast("long").alias("place"), "total")

@@ -193,7 +193,8 @@ def q27_longest_token(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.longest_first(F.split("text", " ")).alias("longest"))
 
 
-@query("""SELECT o_custkey, substring(sha256(string_agg(row, chr(10) ORDER BY row)), 1, 16) AS fingerprint FROM (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority AS row FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey, substring(sha256(count(*) || ':' || sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substring(h, 16, 15) AS BIGINT))), 1, 16) AS fingerprint
+FROM (SELECT o_custkey, sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority) AS h FROM orders) GROUP BY 1""")
 def q28_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return relational.fingerprint(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 

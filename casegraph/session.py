@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "casegraph", **conf: str) -> SparkSession:
@@ -16,3 +18,14 @@ def session(app: str = "casegraph", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as written to the session's checkpoint folder, which executors share; on one machine without such a folder, to one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)

@@ -85,3 +85,19 @@ def markdown(parts: DataFrame, keys: list[str], order: str, title: str, body: st
     """Sections as one Markdown text a key."""
     section = F.struct(F.col(order).alias("o"), F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body)).alias("t"))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+def case_data(tables: dict[str, DataFrame], case: str, cases: DataFrame | None = None) -> DataFrame:
+    """All that is stored on each case, of every table: case, collection, record (JSON with all columns). With cases, of those only.
+
+    Tables are read side by side and nothing is joined but the list of cases; write it partitioned by collection, or filter by case:
+    the filter reaches each table's scan.
+    """
+    parts = []
+    for name, df in tables.items():
+        rows = df if cases is None else df.join(cases.select(case).distinct(), case, "left_semi")
+        parts.append(rows.select(F.col(case), F.lit(name).alias("collection"), F.to_json(F.struct(*[c for c in df.columns if c != case])).alias("record")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
