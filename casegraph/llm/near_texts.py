@@ -31,6 +31,8 @@ RADIUS = 4
 CHUNK = 2048
 #: Groups of up to so many members are compared without counts by range in every row.
 SMALL = 64
+#: Partners that a text is paired with at a shingle in the first turn.
+FEW = 4
 #: Ranges of a text's counts of shingles. One in SAMPLE texts tells which shingles are frequent; at most FREQUENT are.
 BINS, SAMPLE, FREQUENT = 256, 16, 100_000
 
@@ -97,8 +99,9 @@ def _can_reach(one: np.ndarray, two: np.ndarray, needed: np.ndarray) -> np.ndarr
     return (lesser == 255).any(axis=1) | (lesser.sum(axis=1, dtype=np.int64) >= needed)
 
 
-def _meeting(threshold: float):
-    """Pairs of a shingle's few members that can reach the threshold and are not yet in one component; all groups of a batch at once.
+def _meeting(threshold: float, most: int | None):
+    """Pairs of a shingle's few members that can reach the threshold and are not yet in one component; all groups of a batch at once. With
+    most, each member only with so many that stand after it.
 
     At the first shingle that two texts have in common, all others that they have in common come after it in both.
     """
@@ -111,7 +114,7 @@ def _meeting(threshold: float):
             group = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             x = np.arange(len(n))
-            for step in range(1, len(n)):
+            for step in range(1, len(n) if most is None else min(len(n), most + 1)):
                 x = x[x + step < len(n)]
                 x = x[group[x] == group[x + step]]  # members of a group stand side by side
                 if not len(x):
@@ -125,8 +128,9 @@ def _meeting(threshold: float):
     return run
 
 
-def _crowd(threshold: float):
-    """The same for the two chunks of a large group that each row holds; counts by range are looked at as well."""
+def _crowd(threshold: float, most: int | None):
+    """The same for the two chunks of a large group that each row holds; counts by range are looked at as well. With most, each member
+    of the first chunk with so many of the second (others for each member)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +144,8 @@ def _crowd(threshold: float):
                     can = np.flatnonzero((parts != component[x]) & (np.minimum(lefts, left[x]) >= needed))
                     if len(can):
                         can = can[_can_reach(theirs[can], mine[x], needed[can])]
+                    if most is not None and len(can) > most:
+                        can = can[(np.searchsorted(can, x) + np.arange(most)) % len(can)]
                     a.append(np.minimum(m[can], n[x]))
                     b.append(np.maximum(m[can], n[x]))
                 pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
@@ -200,8 +206,9 @@ def simhash_pairs(sketches: DataFrame, radius: int, work: Workspace) -> DataFram
     return work.table(same.union(across), "simhash-pairs")
 
 
-def meeting_pairs(sketches: DataFrame, known: DataFrame, threshold: float, work: Workspace, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold and that known (node, component) does not put together; none is lost."""
+def meeting_pairs(sketches: DataFrame, known: DataFrame, threshold: float, work: Workspace, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold and that known (node, component) does not put together; none is lost. With most,
+    only so many a text and shingle: enough to join up large groups, before those that they leave apart are compared without it."""
     placed = sketches.select("n", "size", "least", "rare", "bins").join(known.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.coalesce("component", "n"))
     place = (F.col("size") - F.col("place")).alias("left")
     rare = placed.select("n", "component", "size", F.posexplode(F.slice("least", F.lit(1), F.col("rare"))).alias("place", "token")).select("token", "n", "component", "size", place)
@@ -215,10 +222,10 @@ def meeting_pairs(sketches: DataFrame, known: DataFrame, threshold: float, work:
     few = shared.where(F.col("members") <= small).groupBy("token").agg(F.collect_list(member).alias("first"))
     many = shared.where(F.col("members") > small).join(sketches.select("n", "bins"), "n").select("token", "n", "component", "size", "left", "bins").union(often)
     crowds = simhash.rest_and_all(many, ["token"], F.struct("n", "size", "left", "component", "bins"), "n", chunk)
-    met_few = few.select("first").mapInArrow(_meeting(threshold), "a bigint, b bigint").distinct()
+    met_few = few.select("first").mapInArrow(_meeting(threshold, most), "a bigint, b bigint").distinct()
     sketch = lambda end: sketches.select(F.col("n").alias(end), F.col("size").alias(f"size_{end}"), F.col("bins").alias(f"bins_{end}"))
     both = met_few.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
-    likely = both.mapInArrow(_can_meet(threshold), "a bigint, b bigint").union(crowds.mapInArrow(_crowd(threshold), "a bigint, b bigint"))
+    likely = both.mapInArrow(_can_meet(threshold), "a bigint, b bigint").union(crowds.mapInArrow(_crowd(threshold, most), "a bigint, b bigint"))
     return work.table(likely.distinct(), "likely")
 
 
@@ -235,13 +242,6 @@ def _some_of_each(pairs: DataFrame) -> DataFrame:
     return few.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    part = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
-    placed = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """docs without copies and near copies: of each group the row of the least key (null keys last) stays, whole."""
     work = Workspace(docs.sparkSession, "near-texts")
@@ -261,10 +261,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     sketches = work.table(made.groupBy("n").agg(least_key, *one), "sketches")
     linked = verified(simhash_pairs(sketches, radius, work), texts, threshold, words, work)
     known = components(linked, work)
-    likely = meeting_pairs(sketches, known, threshold, work, chunk)
-    # most likely pairs are links, and a few of them join up a large group: only pairs that those leave apart are compared as well
-    known = components(_star(known).union(verified(_some_of_each(likely), texts, threshold, words, work)), work)
-    found = verified(_apart(likely, known), texts, threshold, words, work)
+    # most pairs that meet are links, and a few of each text join up a large group: then only texts that are still apart are paired
+    few = meeting_pairs(sketches, known, threshold, work, chunk, most=FEW)
+    known = components(_star(known).union(verified(_some_of_each(few), texts, threshold, words, work)), work)
+    found = verified(meeting_pairs(sketches, known, threshold, work, chunk), texts, threshold, words, work)
     classes = components(_star(known).union(found), work).withColumnRenamed("node", "n")
     named = sketches.select("n", "id", "least_key").join(classes, "n", "left").withColumn("component", F.coalesce("component", "n"))
     stay = named.groupBy("component").agg(F.min_by("id", F.struct("least_key", "id")).alias("id")).select("id")
