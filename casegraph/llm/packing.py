@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, in_batches
-from .words import WORDS, library_encoder
+from .words import WORDS, library_encoder, release
 from .workspace import Workspace
 
 CAPACITY = 1024
@@ -211,7 +211,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what other stages have left in a worker
+        release()
         encoder = library_encoder(path, kept_words)
         for batch in batches:
             at = 0

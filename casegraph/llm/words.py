@@ -6,6 +6,9 @@ a stream of texts is encoded once, not once a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import re
 from collections.abc import Sequence
@@ -13,6 +16,7 @@ from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Words that a worker keeps; with their ids they take about 200 bytes each.
@@ -43,6 +47,14 @@ def read_model(path: str) -> dict:
     return {"vocab": whole["model"]["vocab"], "merges": pairs, "special": {t["content"]: t["id"] for t in whole["added_tokens"]}}
 
 
+def release() -> None:
+    """Gives back what earlier stages have freed in this worker but the allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. Subclasses encode lists of words."""
 
