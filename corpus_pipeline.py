@@ -19,7 +19,7 @@ from casegraph.llm import near_texts, packing, quality, suffix_dedup
 from casegraph.llm.workspace import Workspace
 
 #: Words that a packing worker keeps: executors hold the memory of three other stages by then.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
