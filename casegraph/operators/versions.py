@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,35 +14,85 @@ from pyspark.sql import functions as F
 SPACE = re.compile("([\\t\\n\\v\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+)")
 
 
+#: Layers of the search that are kept: each STEP-th, and one block of STEP that is made again from the layer before it.
+STEP = 256
+#: Layers of fewer diagonals are made one by one, larger ones by whole arrays.
+FEW = 64
+
+
+def _small_layer(before: list[int], x: list[int], y: list[int]) -> list[int]:
+    """_next_layer for few diagonals."""
+    n, m, d = len(x), len(y), len(before)
+    nowhere, now = n + 1, []
+    for t in range(d + 1):
+        shift = n - m - d + 2 * t
+        i = nowhere
+        if t < d and 0 < before[t] <= n and 0 <= before[t] - 1 - shift <= m:
+            i = before[t] - 1
+        if t and before[t - 1] < i and 0 <= before[t - 1] - shift <= m:
+            i = before[t - 1]
+        if i <= n:
+            j = i - shift
+            while i > 0 and j > 0 and x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+        now.append(i)
+    return now
+
+
+def _next_layer(before: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """From where on, on each diagonal, the rest takes one edit more than in the layer before; len(x) + 1 for nowhere."""
+    n, d = len(x), len(before)
+    nowhere = n + 1
+    k = np.arange(-d, d + 1, 2)
+    # a deletion leads to (i + 1, j), one diagonal up; an insertion to (i, j + 1), one down
+    deleted, inserted = np.append(before, nowhere), np.append(nowhere, before)
+    deleted = np.where(deleted <= n, deleted - 1, nowhere)
+    shift = n - len(y) + k
+    for ways in (deleted, inserted):
+        ways[(ways < 0) | (ways - shift < 0) | (ways - shift > len(y))] = nowhere
+    i = np.minimum(deleted, inserted)
+    at = np.flatnonzero(i <= n)
+    while len(at):  # on each diagonal back over equal tokens
+        at = at[(i[at] > 0) & (i[at] > shift[at])]
+        at = at[x[i[at] - 1] == y[i[at] - shift[at] - 1]]
+        i[at] -= 1
+    return i
+
+
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """(kind, text) runs of a shortest edit script from a to b: same, deleted, inserted. Of equally short ones, equal tokens are matched at
     once and deletions come before insertions.
 
-    Myers' O(ND) search from the ends backwards: reach[d] tells, for each diagonal, from where on the rest takes d edits
-    at most. Time and memory follow the number of differences, not the product of the lengths.
+    Myers' O(ND) search from the ends backwards: layer d tells, for each diagonal i - j, from where on the rest takes d edits
+    at most. Time follows the number of differences, not the product of the lengths; so does memory, of which the
+    layers between every STEP-th are made again when the way through them is read.
     """
     n, m = len(a), len(b)
-    reach: list[dict[int, int]] = []
-    while True:
-        d, now = len(reach), {}
-        before = reach[-1] if reach else {}
-        for k in range(-d, d + 1, 2):  # diagonal i - j, counted from that of the ends
-            if d == 0:
-                i = n
-            else:
-                # a deletion leads to (i + 1, j), diagonal k + 1; an insertion to (i, j + 1), diagonal k - 1
-                ways = [x - s for x, s in ((before.get(k + 1), 1), (before.get(k - 1), 0)) if x is not None and x - s >= 0]
-                ways = [i for i in ways if 0 <= i - (n - m) - k <= m]
-                if not ways:
-                    continue
-                i = min(ways)
-            j = i - (n - m) - k
-            while i > 0 and j > 0 and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-            now[k] = i
-        reach.append(now)
-        if now.get(m - n) == 0:  # the start lies on this diagonal
-            break
+    known: dict[str, int] = {}
+    x, y = (np.array([known.setdefault(t, len(known)) for t in tokens], np.int64) for tokens in (a, b))
+    shorter = min(n, m)
+    differ = np.flatnonzero(x[n - shorter :][::-1] != y[m - shorter :][::-1])
+    layer = [n - (int(differ[0]) if len(differ) else shorter)]
+    saved, d = {0: layer}, 0
+    small = x.tolist(), y.tolist()
+    following = lambda before: _small_layer(before, *small) if len(before) < FEW else _next_layer(np.asarray(before), x, y)
+    while abs(m - n) > d or (m - n + d) % 2 or layer[(m - n + d) // 2] != 0:
+        layer, d = following(layer), d + 1
+        if d % STEP == 0:
+            saved[d] = layer
+    block: dict = {}
+
+    def reach(d: int, k: int) -> int:
+        if abs(k) > d:
+            return n + 1
+        if d not in block:
+            block.clear()
+            first = d - d % STEP
+            block[first] = saved[first]
+            for e in range(first + 1, d + 1):
+                block[e] = following(block[e - 1])
+        return int(block[d][(k + d) // 2])
+
     runs: list[tuple[str, list[str]]] = []
 
     def put(kind: str, token: str) -> None:
@@ -49,15 +100,14 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
             runs.append((kind, []))
         runs[-1][1].append(token)
 
-    i, j, left = 0, 0, len(reach) - 1
+    i, j, left = 0, 0, d
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             put("same", a[i])
             i, j = i + 1, j + 1
             continue
         left -= 1
-        k = i - j - (n - m)
-        if i < n and (j == m or reach[left].get(k + 1, n + 1) <= i + 1):
+        if i < n and (j == m or reach(left, i + 1 - j - (n - m)) <= i + 1):
             put("deleted", a[i])
             i += 1
         else:

@@ -99,6 +99,15 @@ def test_edit_script(a, b):
     assert versions.edit_script(a, b) == dynamic_script(a, b)
 
 
+def test_edit_script_over_many_layers(monkeypatch):
+    monkeypatch.setattr(versions, "STEP", 7)
+    monkeypatch.setattr(versions, "FEW", 9)
+    rng = random.Random(1)
+    for n, m in ((60, 80), (90, 0), (0, 40), (70, 70)):
+        a, b = ([rng.choice("abcdefgh ") for _ in range(k)] for k in (n, m))
+        assert versions.edit_script(a, b) == dynamic_script(a, b)
+
+
 def test_word_changes(spark):
     rows = [(1, "the cat  sat\non the mat", "the dog sat\non a mat today"), (2, None, "new"), (3, "gone", None), (4, None, None), (5, "", ""), (6, "same", "same"), (7, " lead", "lead "), (8, "w " * 5000, "w " * 5000 + "end"), (1, "repeated key", "repeated key!")]
     got = defaultdict(list)
