@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = re.compile("([\\t\\n\\v\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+)")
 
 
-#: Layers of the search that are kept: each STEP-th, and one block of STEP that is made again from the layer before it.
+#: Layers of the search that are kept: the first STEP, then each STEP-th, and one block that is made again from the layer before it.
 STEP = 256
 #: Layers of fewer diagonals are made one by one, larger ones by whole arrays.
 FEW = 64
@@ -78,13 +78,15 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     following = lambda before: _small_layer(before, *small) if len(before) < FEW else _next_layer(np.asarray(before), x, y)
     while abs(m - n) > d or (m - n + d) % 2 or layer[(m - n + d) // 2] != 0:
         layer, d = following(layer), d + 1
-        if d % STEP == 0:
+        if d < STEP or d % STEP == 0:
             saved[d] = layer
     block: dict = {}
 
     def reach(d: int, k: int) -> int:
         if abs(k) > d:
             return n + 1
+        if d in saved:
+            return int(saved[d][(k + d) // 2])
         if d not in block:
             block.clear()
             first = d - d % STEP
