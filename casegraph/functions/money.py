@@ -137,7 +137,3 @@ def direction(x: Column, description: Column) -> Column:
 def primary_field(fact: Column) -> Column:
     """The name of the first amount field that can be read."""
     return F.coalesce(*[F.when(parse_amount(fact[f]).isNotNull(), F.lit(f)) for f in PRIMARY_ORDER])
-
-
-def primary_value(fact: Column) -> Column:
-    return F.coalesce(*[parse_amount(fact[f]) for f in PRIMARY_ORDER])

@@ -12,10 +12,6 @@ EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 
 
-def as_column(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -47,11 +47,6 @@ def claim_totals(cited: DataFrame) -> DataFrame:
     return totals_by_currency(cited.where(~F.col("no_longer_in_ledger")), ["claim_id"])
 
 
-def stated_amount(x: Column) -> Column:
-    """A claimed amount as printed, two decimals; null if it can't be read."""
-    return money.format_amount(money.parse_amount(x))
-
-
 def result_order(x: Column) -> Column:
     ranks = F.create_map(*[F.lit(v) for pair in zip(RESULTS, range(len(RESULTS)), strict=True) for v in pair])
     return F.coalesce(F.try_element_at(ranks, x), F.lit(len(RESULTS)))

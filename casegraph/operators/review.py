@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, jsonx, text
 from ..session import materialised
-from .relational import chunk_by_cost, new_by_signature, ranked, stitch, undirected
+from .relational import chunk_by_cost, new_by_signature, ranked, stitch
 
 # Limits of a batch and of a merge, in characters, and items a batch.
 BATCH_CHARS, MERGE_CHARS, BATCH_ITEMS = 24_000, 26_000, 30
@@ -73,10 +73,6 @@ def clause_terms(clause_rows: DataFrame, definitions: DataFrame) -> DataFrame:
     return clause_rows.join(definitions, "agreement_id").where(F.contains(text.casefold(F.col("text")), text.casefold(F.col("term")))).select("agreement_id", "clause_id", "term")
 
 
-def dependencies(edges: DataFrame) -> DataFrame:
-    return undirected(edges, "source_id", "target_id")
-
-
 def grounded(answers: DataFrame, allowed: DataFrame, keys: list[str], cited: str, id_column: str) -> DataFrame:
     """Answers with only such citations as were offered; supported without any becomes unsupported."""
     from .relational import known_ids

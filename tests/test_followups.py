@@ -94,3 +94,27 @@ def test_fingerprint_is_of_the_multiset(spark):
     assert one([(1, None)]) == one([(1, "")])
     assert relational.fingerprint(spark.createDataFrame([], "k int, v string"), ["k"], ["v"]).count() == 0
     assert relational.fingerprint(spark.createDataFrame(rows, "k int, v string").select(F.lit(1).alias("k"), "v"), [], ["v"]).count() == 1
+
+
+def test_pages_shrink_to_fit(spark):
+    df = spark.createDataFrame([(1, "short"), (2, "x" * 150), (3, "y" * 900)], "id int, body string")
+    forms = [F.struct("id", "body"), F.struct("id", F.substring("body", 1, 50).alias("body")), F.struct("id")]
+    got = {r["id"]: json.loads(r["j"]) for r in df.select("id", review.shrunk(*forms, most=100).alias("j")).collect()}
+    assert got == {1: {"id": 1, "body": "short"}, 2: {"id": 2, "body": "x" * 50}, 3: {"id": 3, "body": "y" * 50}}
+    assert json.loads(df.where("id = 3").select(review.shrunk(*forms, most=20).alias("j")).first()["j"]) == {"id": 3}
+
+
+def test_merge_groups_keep_within_characters(spark):
+    rows = [("a", i, "t" * n) for i, n in enumerate((40, 40, 10, 200, 5, 5))] + [("b", 0, "z")]
+    got = review.merge_groups(spark.createDataFrame(rows, "case_id string, ord int, summary string"), ["case_id"], "ord", 120).collect()
+    chunks = {(r["case_id"], r["ord"]): r["chunk_no"] for r in got}
+    # {"summary":""} are 14 characters
+    assert [chunks["a", i] for i in range(6)] == [1, 1, 2, 3, 4, 4] and chunks["b", 0] == 1
+
+
+def test_grounded_answers(spark):
+    answers = spark.createDataFrame([(1, True, ["r1", "no", "r1"]), (2, True, ["no"]), (3, False, ["r2"]), (4, True, []), (5, True, None)], "id int, supported boolean, cited array<string>")
+    known = spark.createDataFrame([("r1",), ("r2",), ("r2",)], "row_id string")
+    got = {r["id"]: (r["supported"], r["cited"], r["unverified"]) for r in review.grounded(answers, known, ["id"], "cited", "row_id").collect()}
+    assert got[1] == (True, ["r1"], ["no"]) and got[2] == (False, [], ["no"]) and got[3] == (False, ["r2"], []) and got[4] == (False, [], [])
+    assert got[5][0] is False
