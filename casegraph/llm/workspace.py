@@ -38,6 +38,17 @@ class Workspace:
         back._workspace_path = path
         return back
 
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Like table(), in buckets of column: joins and groupings of such tables by column (equal numbers of buckets) move no rows."""
+        unique = f"{name}_{uuid.uuid4().hex}"
+        path = f"{self.root}/{unique}"
+        df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(unique)
+        back = self.spark.table(unique)
+        back.schema  # resolved: the name is not needed any more, and dropping it leaves the files
+        self.spark.sql(f"DROP TABLE {unique}")
+        back._workspace_path = path
+        return back
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by table(); only for those that no later plan reads."""
         jvm = self.spark._jvm

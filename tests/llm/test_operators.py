@@ -258,28 +258,51 @@ def test_lm_scores(spark):
     assert lm_scores.scores(no_documents(spark)).count() == 0
 
 
-def test_lm_scores_of_trigrams(spark):
-    """Backoff takes one step an order; the registered query counts trigrams."""
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_scores_of_orders(spark, order):
+    """Backoff takes one step an order; the registered query counts trigrams. N-grams with a part found once are not sent."""
     rows = odd_rows()
     split = [(r[1] or "").encode().lower().split() for r in rows]
-    grams = lambda ws: Counter(tuple(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1))
+    grams = lambda ws: Counter(tuple(ws[i : i + n]) for n in range(1, order + 1) for i in range(len(ws) - n + 1))
     mine = [grams(ws) for ws in split]
     everyone, total, want = sum(mine, Counter()), sum(map(len, split)), []
     for r, ws, own in zip(rows, split, mine, strict=True):
         others = lambda g, own=own: everyone[g] - own[g]
         score = backed = 0
         for i in range(len(ws)):
-            top = n = min(3, i + 1)
+            top = n = min(order, i + 1)
             while n > 1 and not others(tuple(ws[i - n + 1 : i + 1])):
                 n -= 1
             count = max(1, others(tuple(ws[i - n + 1 : i + 1])))
             score += (top - n) * math.log(0.4) + math.log(count / max(1, others(tuple(ws[i - n + 1 : i])) if n > 1 else total - len(ws)))
             backed += n < top
         want.append((r[0], len(ws), round(score, 6), backed))
-    found = lm_scores.scores(odd_documents(spark), order=3, block_chars=2000).collect()
+    found = lm_scores.scores(odd_documents(spark), order=order, block_chars=2000).collect()
     same([(r.doc_id, r.n_words, round(r.log_score, 6) + 0.0, r.n_backed_off) for r in found], [(k, n, x + 0.0, b) for k, n, x, b in want])
 
 
+def test_lm_scores_send_what_comes_again():
+    """An n-gram is counted unless it begins or ends with a shorter one that the corpus has once."""
+    block = lm_scores._Block.of_texts(["a b c d a b c e", "x a b c x"])
+    words, texts = block.first(), [b"a b c d a b c e".split(), b"x a b c x".split()]
+    pairs = block.longer(2, words, words.counts)
+    assert pairs.counts.sum() == sum(1 for ws in texts for p in zip(ws, ws[1:], strict=False) if not {b"d", b"e"} & set(p))
+    threes = block.longer(3, pairs, pairs.counts)
+    assert len(threes.distinct) == 1 and threes.counts.tolist() == [3]
+
+
+def test_lm_scores_move_no_blocks(spark):
+    """Blocks and answers are bucketed alike: scoring joins them without a shuffle."""
+    found = lm_scores.scores(odd_documents(spark), order=3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+
+
 def brute_runs(rows):
     """(key, first word, run) of every run of 25 words; those of equal runs that stand in 50 equal words have to be found."""
     out = defaultdict(list)
