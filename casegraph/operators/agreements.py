@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import review
+from . import relational, review
 from .graph import neighbours
 from .jsontree import named_values
 from .relational import known_ids, systematic_sample
@@ -63,6 +63,43 @@ def pages_to_classify(pages: DataFrame, agreement: str) -> DataFrame:
     return systematic_sample(pages, [agreement], ["place"], place="_at").drop("_at")
 
 
+def classification_material(pages: DataFrame, agreement: str, chars: int = 3500) -> DataFrame:
+    """agreement, page_id, document_id, page_number, text: what a classification reads, the start of each page's summary, or of its
+    text where it has none."""
+    chosen = pages_to_classify(pages_in_order(pages, agreement), agreement)
+    return chosen.select(agreement, "page_id", "document_id", "page_number", F.substring(F.coalesce(F.nullif("page_summary", F.lit("")), F.col("page_text")), 1, chars).alias("text"))
+
+
+def grounded_reviews(reviews: DataFrame, offered: DataFrame, keys: list[str], otherwise: str = "No applicable authority was found for this clause.") -> DataFrame:
+    """Reviews of units (keys, support_status, finding, authority_ids) that cite only what their own unit was offered (keys, node_id).
+
+    Ids are compared without blanks around them and kept once, in the order cited. A unit that calls itself supported and
+    cites nothing that was offered is unsupported, with a finding that says so. Null lists are empty; a null id is none.
+    """
+    cited = reviews.select(*keys, F.posexplode("authority_ids").alias("_at", "_id")).withColumn("_id", F.trim("_id")).groupBy(*keys, "_id").agg(F.min("_at").alias("_at"))
+    known = offered.select(*keys, F.trim("node_id").alias("_id")).where("_id <> ''").distinct()
+    good = cited.join(known, [*keys, "_id"], "left_semi").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"]).alias("_good"))
+    out = reviews.join(good, keys, "left").withColumn("authority_ids", F.coalesce("_good", F.array().cast("array<string>"))).drop("_good")
+    bare = F.coalesce(F.col("support_status") == "supported", F.lit(False)) & (F.size("authority_ids") == 0)
+    return out.withColumns({"support_status": F.when(bare, "unsupported").otherwise(F.col("support_status")), "finding": F.when(bare, otherwise).otherwise(F.col("finding"))})
+
+
+def synthesis_groups(reviews: DataFrame, agreement: str, order: str, target: int = review.CHUNK_TARGET, hard: int = review.CHUNK_HARD) -> DataFrame:
+    """agreement, group_no, clauses, reviews: an agreement's reviews (JSON, in order) in groups of so many characters, one call each.
+    The last call reads the groups' answers alone, never all reviews again."""
+    record = F.to_json(F.struct(*[c for c in reviews.columns if c not in (agreement, order)]))
+    sized = reviews.select(agreement, order, record.alias("review")).withColumn("_cost", F.char_length("review").cast("long"))
+    numbered = relational.chunk_by_cost(sized, [agreement], order, "_cost", target, hard)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "review"))), lambda x: x["review"])
+    return numbered.groupBy(agreement, F.col("chunk_no").alias("group_no")).agg(F.count(F.lit(1)).alias("clauses"), listed.alias("reviews"))
+
+
+def package_authorities(offered: DataFrame, agreement: str, order: str) -> DataFrame:
+    """Each authority of an agreement once, as it was found last, at the place where it was found first. Rows without node_id go."""
+    named = offered.withColumn("node_id", F.trim(F.col("node_id"))).where("node_id <> ''")
+    return relational.keep_last(named, [agreement, "node_id"], order)
+
+
 def harvested_ids(records: DataFrame, keys: list[str], sections: str | list[str]) -> DataFrame:
     """keys, id: every text or number that stands under one of ID_KEYS anywhere in the JSON texts of the sections, distinct.
     Blank ones and a number 0 are no ids."""

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import jsonx, text
 from .jsontree import rewritten
+from .relational import budget_prefix
 
 # Fields, the columns that they come from and their caps, by kind of record.
 CHAT = {
@@ -33,6 +35,9 @@ REVIEW_KEYS = {
     "scalars": ["case", "case_id", "case_name", "case_status", "case_type", "jurisdiction", "review_mode", "review_context"],
     "lists": ["messages", "documents", "document_pages", "latest_document_pages", "parties", "facts", "fact_candidates", "issues", "issue_candidates", "events", "evidence", "legal_research"],
 }
+REVIEW_TEXTS = {"page_summary": 1200, "summary": 1200, "description": 1000, "content": 700, "message_text": 700, "fact_text": 600, "fact": 600, "issue_text": 600, "issue": 600, "event_text": 600, "event": 600, "research_summary": 1000, "title": 250, "name": 250}
+REVIEW_ROWS = 25
+MAP_LISTS = {"parties": 8, "dates": 8, "amounts": 8, "case_numbers": 8, "claims": 5, "key_facts": 5, "legal_references": 5, "evidence": 5, "signatures_or_stamps": 5}
 CONTEXT_ROWS = {"facts": 24, "fact_candidates": 16, "parties": 12, "issues": 12, "issue_candidates": 10, "evidence": 18, "documents": 20, "pages": 30, "events": 20}
 PAGE_LISTS = {"parties": 8, "dates": 8, "amounts": 8, "case_numbers": 8, "claims": 6, "facts": 8, "legal_references": 6, "evidence_items": 6, "signatures_or_stamps": 4}
 LEDGER_FIELDS = ["fact_type", "date", "description", "amount", "currency", "debit", "credit", "balance", "amount_due", "paid_amount", "remaining_amount", "account_number", "transaction_reference", "counterparty", "status", "page_number"]
@@ -90,8 +95,42 @@ def capped(x: Column, most: int) -> Column:
     return text.truncate(F.trim(F.coalesce(x, F.lit(""))), most)
 
 
-def capped_list(x: Column, most: int = 25) -> Column:
-    return F.slice(F.coalesce(x, F.array().cast("array<string>")), 1, most)
+def review_items(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Items as a review reads them: fields of FORBIDDEN go, texts of REVIEW_TEXTS are cut, lists keep their first REVIEW_ROWS
+    entries. Of fields that hold JSON, only those of the row itself go; keys inside are for without_keys()."""
+    fields = {}
+    for f in items.schema.fields:
+        if f.name in keys or f.name in FORBIDDEN:
+            continue
+        if f.name in REVIEW_TEXTS:
+            fields[f.name] = capped(F.col(f.name).cast("string"), REVIEW_TEXTS[f.name])
+        elif isinstance(f.dataType, T.ArrayType):
+            fields[f.name] = F.slice(f.name, 1, REVIEW_ROWS)
+        else:
+            fields[f.name] = F.col(f.name)
+    return items.select(*keys, *[c.alias(n) for n, c in fields.items()])
+
+
+def map_pages(pages: DataFrame, case: str, order: str, most: int = 2000, total: int = 42_000) -> DataFrame:
+    """case, order, form, record (JSON): pages with a summary as a case map reads them, in order while their characters stay within total.
+
+    A page whose record passes most characters has its summary and lists cut (form 2); one that still does keeps only its
+    kind, a shorter summary and a few facts (form 3). Missing texts are "", missing lists empty.
+    """
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    list_of = lambda c: (F.coalesce(F.col(c), F.array().cast("array<string>")) if c in pages.columns else F.array().cast("array<string>")).alias(c)
+    number = F.col("page_number")
+    rows = pages.select(case, order, *[text_of(c) for c in ("page_id", "document_type", "document_language", "summary")], number, *[list_of(c) for c in MAP_LISTS]).where(F.col("summary").rlike(r"\S"))
+    head = lambda n: F.substring("summary", 1, n).alias("summary")
+    known = ["page_id", "page_number", "document_type", "document_language"]
+    forms = [
+        F.struct(*known, "summary", *MAP_LISTS),
+        F.struct(*known, head(900), *[F.slice(c, 1, n).alias(c) for c, n in MAP_LISTS.items()]),
+        F.struct(*known[:3], head(700), F.slice("key_facts", 1, 4).alias("key_facts")),
+    ]
+    chosen = F.when(jsonx.serialised_chars(forms[0]) <= most, 1).when(jsonx.serialised_chars(forms[1]) <= most, 2).otherwise(3)
+    shown = rows.withColumn("form", chosen).select(case, order, "form", F.when(F.col("form") == 1, F.to_json(forms[0])).when(F.col("form") == 2, F.to_json(forms[1])).otherwise(F.to_json(forms[2])).alias("record"))
+    return budget_prefix(shown, [case], [order], F.char_length("record").cast("long"), total).where(F.col("running_cost") <= total).drop("running_cost")
 
 
 def ledger_record(entries: DataFrame) -> Column:

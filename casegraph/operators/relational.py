@@ -58,6 +58,15 @@ def only_new(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 
 
+def keep_last(df: DataFrame, keys: list[str], order: str, first: str = "first_at") -> DataFrame:
+    """One row a key: the values of its last row in order, at the place (first) of its first one. Combines before the shuffle.
+    Of rows with equal order the one with the greatest values is the last; columns that have no order (maps) do not decide."""
+    rest = [c for c in df.columns if c not in keys]
+    decides = [c for c, kind in df.dtypes if c in rest and c != order and "map<" not in kind]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *decides)).alias("_last"), F.min(order).alias(first))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest if c != order], first)
+
+
 def budget_prefix(df: DataFrame, keys: list[str], order: list[str], cost: Column, most: int) -> DataFrame:
     """Rows of each key while their running cost stays within most; the first one always stays. Costs are not negative."""
     w = Window.partitionBy(*keys).orderBy(*order)

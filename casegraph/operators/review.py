@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, jsonx, text
 from ..session import materialised
-from .relational import chunk_by_cost, new_by_signature, ranked, stitch
+from .relational import chunk_by_cost, new_by_signature, stitch
 
 # Limits of a batch and of a merge, in characters, and items a batch.
 BATCH_CHARS, MERGE_CHARS, BATCH_ITEMS = 24_000, 26_000, 30
@@ -81,10 +81,6 @@ def grounded(answers: DataFrame, allowed: DataFrame, keys: list[str], cited: str
     return checked.withColumn("supported", F.col("supported") & (F.size(cited) > 0))
 
 
-def question_ids(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return ranked(questions, keys, [F.col(order).asc()], "_n").withColumn("question_id", ids.ordinal_id("Q_%03d", F.col("_n"))).drop("_n")
-
-
 def shrunk(page: Column, trimmed: Column, bare: Column, most: int = 2000) -> Column:
     """The first of three forms of a page's record that fits into so many characters as JSON; the last if none does."""
     return F.when(jsonx.serialised_chars(page) <= most, F.to_json(page)).when(jsonx.serialised_chars(trimmed) <= most, F.to_json(trimmed)).otherwise(F.to_json(bare))

@@ -1,4 +1,4 @@
 """Queries over the driver's tables. Importing the package registers all of them."""
 
-from . import cases, followups, pipelines, records, reviews, search, temporal, trees  # noqa: F401
+from . import agreements, cases, followups, pipelines, records, reviews, search, temporal, trees  # noqa: F401
 from .registry import QUERIES, SQL, table  # noqa: F401

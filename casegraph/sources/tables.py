@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,23 @@ def replace_slice(spark: SparkSession, path: str, case_id: str, rows: DataFrame,
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def page_sources(pages: DataFrame, case: str, documents: list | None = None) -> DataFrame:
+    """Pages with text that an extraction reads, of the given documents or of all: keys, page_number (0 if unreadable), page_text
+    without blanks around it, image path and type (image/png if none), and place, from 1, by document and page within a case.
+
+    The list of documents is what a caller names, and it is pushed to the scan. Places are numbers, so that the order
+    survives a shuffle; sort by case and place where rows have to leave in order.
+    """
+    wanted = pages if documents is None else pages.where(F.col("case_document_id").isin([str(d) for d in documents]))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in pages.columns else F.lit("")
+    whole = F.regexp_replace(said("page_text"), r"^\s+|\s+$", "")
+    rows = wanted.select(
+        case, "page_id", "case_document_id", F.coalesce(F.col("page_number").try_cast("int"), F.lit(0)).alias("page_number"), whole.alias("page_text"),
+        said("page_image_path").alias("page_image_path"), F.coalesce(F.nullif(said("page_image_mime_type"), F.lit("")), F.lit("image/png")).alias("page_image_mime_type"),
+    ).where("page_text <> ''")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(case).orderBy("case_document_id", "page_number", "page_id")))
+
+
 def files(spark: SparkSession, pattern: str) -> DataFrame:
     """Files as rows: path, sha256, size, content (read only where it is selected)."""
     df = spark.read.format("binaryFile").load(pattern)
