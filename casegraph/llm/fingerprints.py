@@ -1,6 +1,8 @@
 """Winnowing fingerprints of documents, in DataFrame functions alone.
 
-Words (runs without white space, cut after every 16 characters) are taken in k-grams; each k-gram has a 33-bit hash.
+Words (runs without white space, cut after every 16 characters) are hashed once each; a k-gram's 33-bit hash is the polynomial
+of its words' hashes that a rolling hash has. Spark has no running fold over an array that is linear in its length, so the
+polynomials are not rolled from the left: those of two words give those of four, and further words are added one by one.
 Of every window of w neighbouring k-grams the least hash is chosen, the rightmost of equal ones, with its position.
 Two texts that share a run of k + w - 1 words so share at least one chosen hash (the match guarantee).
 
@@ -20,6 +22,9 @@ from .workspace import let
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 GRAM, WINDOW = 5, 4
 PLACE_BITS = 30
+#: A prime below 2**33. Products with BASE, or its square, stay below 2**63: nothing overflows.
+MODULUS = (1 << 33) - 9
+BASE = 31_337
 PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
@@ -31,12 +36,21 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     if window & (window - 1):
         raise ValueError("window must be a power of two")
 
+    def spans(each: Column, found: Column, span: int) -> Column:
+        """From polynomials over span words at every place those over gram words."""
+        if span == gram:
+            return found
+        step = span if span <= 2 and 2 * span <= gram else 1
+        tail = found if step == span else each
+        longer = F.transform(F.sequence(F.lit(0), F.size(each) - (span + step)), lambda i: (F.get(found, i) * F.lit(BASE**step) + F.get(tail, i + span)) % F.lit(MODULUS))
+        return let(longer, lambda f: spans(each, f, span + step))
+
     def grams(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (gram - 1), F.lit(1)))
+        # a word's hash is never 0, which stands for the words that a short text lacks
+        hashed = F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 31) % F.lit(MODULUS - 1) + 1)
+        padded = F.concat(hashed, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(gram) - F.size(words), F.lit(0))))
         place = lambda i: F.lit(PLACE_MASK) - i.cast("long")  # noqa: E731  a later place is the smaller number
-        return F.transform(
-            starts, lambda one, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(words, one, gram)), 31), PLACE_BITS).bitwiseOR(place(i))
-        )
+        return F.transform(let(padded, lambda h: spans(h, h, 1)), lambda s, i: F.shiftleft(s, PLACE_BITS).bitwiseOR(place(i)))
 
     def minima(packed: Column, span: int) -> Column:
         if span == window:

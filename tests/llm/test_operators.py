@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ from casegraph.llm.components import components
 from casegraph.llm.order import bounds_of, bucket_of
 from casegraph.llm.workspace import Workspace
 
-from .helpers import clashing, no_documents, odd_documents, odd_rows, same
+from .helpers import clashing, no_documents, odd_documents, odd_rows, same, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,6 +65,48 @@ def winnowed(text, gram=5, window=4):
     return grams
 
 
+def brute_winnow(text, gram=5, window=4):
+    """(hash, position) pairs of a text, by definition: every k-gram's polynomial, every window's least, rightmost of ties."""
+    words = [m.encode() for m in re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")]
+    each = [(xxhash.xxh64_intdigest(w, seed=42) >> 31) % (fingerprints.MODULUS - 1) + 1 for w in words]
+    each += [0] * (gram - len(each)) if words else []
+    found = [sum(h * fingerprints.BASE ** (gram - 1 - j) for j, h in enumerate(each[i : i + gram])) % fingerprints.MODULUS for i in range(len(each) - gram + 1)]
+    chosen = set()
+    for i in range(max(1, len(found) - window + 1) if found else 0):
+        near = list(enumerate(found[i : i + window], i))
+        least = min(h for _, h in near)
+        chosen.add((least, max(p for p, h in near if h == least)))
+    return chosen
+
+
+@pytest.mark.parametrize("gram", [1, 3, 5, 8])
+def test_fingerprints_by_definition(spark, gram):
+    """Hashes, positions and rightmost ties, also of texts whose k-grams come again within a window."""
+    rng = random.Random(5)
+    again = [" ".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 40, 200)] + ["a " * 50, "a b " * 30, "a b c", "a b d", "b a c"]
+    df = spark.createDataFrame(list(enumerate([*texts(), *again])), "id long, text string")
+    shown = fingerprints.positions(fingerprints.winnow(F.col("text"), gram=gram))
+    found = {r.id: [(x.hash, x.position) for x in r.p] for r in df.select("id", shown.alias("p")).collect()}
+    for i, t in enumerate([*texts(), *again]):
+        want = brute_winnow(t, gram)
+        assert set(found[i]) == want and len(found[i]) == len(want), t
+
+
+def test_likeness_by_definition(spark):
+    """The edited text, its likeness and that of the next document, against sets of hashes."""
+    rows = [(7 * i % 101, t) for i, t in enumerate(texts())]
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    ordered = sorted(((k, t or "") for k, t in rows), reverse=True)
+    hashes = lambda t: {h for h, _ in brute_winnow(t)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (k, t), (_, following) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        assert found[k].edited == edited
+        assert abs(found[k].near_edited - like(hashes(t), hashes(edited))) < 1e-12
+        assert abs(found[k].near_next - like(hashes(t), hashes(following))) < 1e-12
+
+
 def test_match_guarantee(spark):
     """Texts that share gram + window - 1 words in a row share a chosen hash; chosen positions are minima of their windows."""
     shared = " ".join(f"shared{i}" for i in range(8))
