@@ -130,6 +130,23 @@ def test_words_and_fusion(spark):
     assert retrieval.matched(questions, retrieval.inverted_index(empty), 0).count() == 0
 
 
+def test_texts_are_scored_where_they_lie(spark, monkeypatch):
+    import random
+
+    random.seed(3)
+    texts = [" ".join(random.choice("abcdefgh") * random.randint(1, 2) for _ in range(random.randint(0, 9))) for _ in range(300)] + [None]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node_id long, text string").repartition(3)
+    questions = spark.createDataFrame([(q, " ".join(random.sample("abcdefgh", 3)) + " aa") for q in range(7)], "query_id long, question string")
+    monkeypatch.setattr(retrieval, "TEXTS", 16)  # many parts a task: what is left out must not be among the best
+    rows = lambda df: sorted(df.select("query_id", "node_id", "score", "rank").collect())
+    want = rows(retrieval.matched(questions, retrieval.inverted_index(nodes), len(texts), 10))
+    assert len(want) == 70 and rows(retrieval.matched_texts(questions, nodes, 10, block=2)) == want
+    full = retrieval.matched_texts(questions, nodes, len(texts))
+    assert rows(full.where("rank <= 10")) == want
+    plan = retrieval.matched_texts(questions, nodes, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # no row for a pair of a question and a text that share a word
+
+
 def test_search_types(spark):
     _, df = vectors(spark, 60)
     questions = df.where("node_id < 2").select(F.col("node_id").alias("query_id"), F.when(F.col("node_id") == 0, "word").otherwise(" ").alias("question"), F.col("vector").alias("query_vector"))
