@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that stand for "no value".
@@ -17,6 +17,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def made_once(df: DataFrame, columns: dict[str, Column], most: int = 4) -> DataFrame:
+    """df with columns, each evaluated once a row, in compiled code and before any later filter: the optimiser neither copies them to
+    where they are used nor moves them, since they come out of generators of one row. A generator makes at most so many of
+    them, since the compiler leaves long methods alone."""
+    named = [c.alias(n) for n, c in columns.items()]
+    for at in range(0, len(named), most):
+        df = df.select("*", F.inline(F.array(F.struct(*named[at : at + most]))))
+    return df
+
+
 def ascii_digits(x: Column) -> Column:
     return F.translate(x, EASTERN_DIGITS + PERSIAN_DIGITS, ASCII_DIGITS * 2)
 
