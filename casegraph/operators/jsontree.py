@@ -1,15 +1,21 @@
-"""Nested JSON texts as rows of tokens: members dropped at any depth, texts in them changed, values found by name.
+"""Nested JSON texts as lists of tokens: members dropped at any depth, texts in them changed, values found by name.
 
-A text is cut into tokens (with the white space before them); depth is a running sum of brackets, so any nesting takes one
-shuffle by row and no recursion. What is kept stays as it was written.
+A text is cut into tokens (with the white space before them); depth is a running sum of brackets, so any nesting takes no
+shuffle and no recursion. What is kept stays as it was written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import let
 
@@ -58,39 +64,74 @@ def named_values(json: Column, names: Sequence[str], fold: bool = True) -> Colum
     return let(tokens(json), found)
 
 
+def _kept(forbidden: Sequence[str], fold: bool, schema: pa.Schema):
+    """Of batches (keys, _tokens) the tokens that stay, and whether each is a member's name. A batch's tokens lie end to end in arrays, and
+    all rows are worked on at once."""
+    gone_names = {n.lower() if fold else n for n in forbidden}
+
+    def is_gone(name: str) -> bool:
+        try:
+            said = json.loads(name, strict=False) if "\\" in name else name[1:-1]
+        except ValueError:
+            return False
+        return (said.lower() if fold else said) in gone_names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(batch.num_columns - 1)
+            size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+            flat, row = listed.flatten(), np.repeat(np.arange(batch.num_rows), size)
+            bare, at = pc.utf8_ltrim(flat, characters=" \t\r\n"), np.arange(len(flat))
+            one_of = lambda *t: pc.is_in(bare, value_set=pa.array(t)).to_numpy(zero_copy_only=False)  # noqa: E731,B023
+            opens, closes, comma = one_of("{", "["), one_of("}", "]"), one_of(",")
+            follows = np.append(row[1:] == row[:-1], False)[: len(row)]  # the next token is of the same row
+            named = pc.starts_with(bare, '"').to_numpy(zero_copy_only=False) & np.append(one_of(":")[1:], False)[: len(row)] & follows
+            keep = np.ones(len(flat), bool)
+            names = bare.filter(pa.array(named)).dictionary_encode()
+            hit = np.array([is_gone(n) for n in names.dictionary.to_pylist()], bool)
+            drop = np.flatnonzero(named)[hit[names.indices.to_numpy()]] if len(names) else at[:0]
+            if len(drop):
+                step = opens.astype(np.int64) - closes
+                total = np.cumsum(step)
+                first = (np.cumsum(size) - size)[row]
+                # a bracket belongs to the container around it when it opens, to its own when it closes
+                depth = total - (total - step)[first] - opens + closes
+                place = (row * (depth.max() - min(depth.min(), 0) + 1) + depth - min(depth.min(), 0)) * len(flat) + at
+                ends = np.sort(place[comma | closes])
+                found = np.searchsorted(ends, place[drop], "right")
+                end = ends[np.minimum(found, len(ends) - 1)]
+                same = (found < len(ends)) & (end // len(flat) == place[drop] // len(flat))
+                stop = np.full(len(flat), -1)
+                stop[drop[same]] = end[same] % len(flat)
+                before = np.append(stop[1:], -1)
+                stop = np.where((stop < 0) & comma & follows, before, stop)
+                keep = np.maximum.accumulate(stop) <= at
+                left = np.flatnonzero(keep)
+                # the comma after a first member that has gone
+                lone = comma[left[1:]] & opens[left[:-1]] & (row[left[1:]] == row[left[:-1]])
+                keep[left[1:][lone]] = False
+            offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (flat.filter(pa.array(keep)), pa.array(named[keep]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], schema=schema)
+
+    return run
+
+
 def rewritten(df: DataFrame, keys: list[str], json: str, forbidden: Sequence[str] = (), fix: Callable[[Column], Column] | None = None, fold: bool = True) -> DataFrame:
     """keys and json: without the members that have a forbidden name, whatever they hold and however deep they stand; the texts that
     are left (not names) go through fix. Null, and whatever is no JSON, becomes null. Every row of df has a row here.
 
-    fold: names are compared without case. One row's tokens meet in one task, as the row did before.
+    fold: names are compared without case. Rows are worked on where they lie, without a shuffle.
     """
-    kept_columns = [F.col(k) for k in keys]
-    rows = df.select(*kept_columns, F.monotonically_increasing_id().alias("_row"), tokens(F.col(json)).alias("_tokens"))
-    t = rows.select(*kept_columns, "_row", F.posexplode_outer("_tokens").alias("_pos", "_token")).withColumn("_bare", bare_token(F.col("_token")))
-    opens, closes = F.col("_bare").isin("{", "["), F.col("_bare").isin("}", "]")
-    in_order = Window.partitionBy("_row").orderBy("_pos")
-    up_to = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a bracket belongs to the container around it when it opens, to its own when it closes
-    inside = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(up_to)
-    t = t.withColumns({"_depth": inside + F.when(opens, -1).when(closes, 1).otherwise(0), "_named": F.col("_bare").startswith('"') & (F.lead("_bare").over(in_order) == ":")})
-    if forbidden:
-        name = F.lower(plain(F.col("_bare"))) if fold else plain(F.col("_bare"))
-        drop = F.col("_named") & name.isin([f.lower() if fold else f for f in forbidden])
-        ends = F.when((F.col("_bare") == ",") | closes, F.col("_pos"))
-        following = Window.partitionBy("_row", "_depth").orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        t = t.withColumn("_stop", F.when(drop, F.last(ends, ignorenulls=True).over(following)))
-        t = t.withColumn("_stop", F.coalesce("_stop", F.when(F.col("_bare") == ",", F.lead("_stop").over(in_order))))
-        gone = t.withColumn("_until", F.coalesce(F.max("_stop").over(up_to), F.lit(-1)))
-        t = gone.where(F.col("_pos").isNull() | (F.col("_until") <= F.col("_pos"))).withColumn("_before", F.lag("_bare").over(in_order))
-        first = (F.col("_bare") == ",") & F.coalesce(F.col("_before").isin("{", "["), F.lit(False))
-        t = t.where(F.col("_pos").isNull() | ~first)  # the comma after a first member that has gone
-    shown = F.col("_token")
-    if fix is not None:
-        value = plain(F.col("_bare"))
-        fixed = fix(value)
-        text = F.col("_bare").startswith('"') & ~F.coalesce("_named", F.lit(False))
-        space = F.substring("_token", F.lit(1), F.char_length("_token") - F.char_length("_bare"))
-        shown = F.when(text & ~fixed.eqNullSafe(value), F.concat(space, quoted(fixed))).otherwise(shown)
-    in_place = F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("p"), shown.alias("t")))))
-    joined = F.when(F.size(in_place) > 0, F.array_join(F.transform(in_place, lambda x: x["t"]), ""))
-    return t.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], joined.alias(json)).drop("_row")
+    rows = df.select(*[F.col(k) for k in keys], tokens(F.col(json)).alias("_tokens"))
+    shape = T.StructType([*rows.schema.fields[:-1], T.StructField("_tokens", T.ArrayType(T.StringType())), T.StructField("_named", T.ArrayType(T.BooleanType()))])
+    kept = rows.mapInArrow(_kept(list(forbidden), fold, to_arrow_schema(shape)), shape)
+
+    def shown(token: Column, i: Column) -> Column:
+        bare = bare_token(token)
+        space = F.substring(token, F.lit(1), F.char_length(token) - F.char_length(bare))
+        fixed = let(plain(bare), lambda value: let(fix(value), lambda new: F.when(~new.eqNullSafe(value), F.concat(space, quoted(new))).otherwise(token)))
+        return F.when(bare.startswith('"') & ~F.get("_named", i), fixed).otherwise(token)
+
+    whole = F.col("_tokens") if fix is None else F.transform("_tokens", shown)
+    return kept.select(*keys, F.when(F.size("_tokens") > 0, F.array_join(whole, "")).alias(json))

@@ -157,3 +157,11 @@ def test_search_types(spark):
     for kind, more in (("OTHER", {}), ("HYBRID", {}), ("SIMILARITY_THRESHOLD", {})):
         with pytest.raises(ValueError):
             retrieval.searched(questions, df, 5, search_type=kind, **more)
+
+
+def test_members_go_without_a_shuffle(spark):
+    said = ['{"a":1,"X":{"y":[1,{"x":2}]},"b":[{"x":1},{"c":"x","x":[[]]}]}', '{"\\u0078":1}', "no json", None, "[]", '{"z":{"x":1}, "x":2,"k":"é"}', '"x"']
+    df = spark.createDataFrame(list(enumerate(said)), "k int, j string").coalesce(1)
+    out = jsontree.rewritten(df, ["k"], "j", ["x"], lambda c: F.upper(c))
+    assert [r.j for r in out.orderBy("k").collect()] == ['{"a":1,"b":[{},{"c":"X"}]}', "{}", None, None, "[]", '{"z":{},"k":"É"}', '"X"']
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
