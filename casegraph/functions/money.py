@@ -108,14 +108,13 @@ def _coded(upper: Column, markers: dict[str, list[str]]) -> Column:
 def currency(x: Column) -> Column:
     """The code of a currency text; other countries' riyals and unknown texts stay as written, in upper case. Never a default."""
 
-    def coded(text: Column) -> Column:
-        upper = F.concat(F.lit(" "), F.upper(text), F.lit(" "))
+    def coded(text: Column, upper: Column) -> Column:
         foreign = F.lit(False)
         for word in FOREIGN:
             foreign = foreign | upper.contains(word)
-        return F.when(foreign, F.upper(text)).otherwise(F.coalesce(_coded(upper, CURRENCIES), F.upper(text)))
+        return F.when(foreign, text).otherwise(F.coalesce(_coded(upper, CURRENCIES), text))
 
-    return F.when(x.isNotNull(), let(clean(x), coded))
+    return F.when(x.isNotNull(), let(F.upper(clean(x)), lambda text: let(F.concat(F.lit(" "), text, F.lit(" ")), lambda upper: coded(text, upper))))
 
 
 def loose_currency(x: Column, hint: Column | None = None) -> Column:

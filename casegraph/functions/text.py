@@ -33,8 +33,11 @@ def ascii_digits(x: Column) -> Column:
 
 def clean(x: Column) -> Column:
     """Trimmed text; null for texts that stand for no value."""
+    # most texts have nothing to trim
+    bare = x.rlike(r"(?s)\A\S(?:.*[^\s\u0085\u2028\u2029])?\z") & ~x.rlike(r"[\u0085\u2028\u2029]\z")
+    token = lambda t: F.lower(t).isin(NULL_TOKENS)
     trimmed = F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.when(x.isNotNull(), let(trimmed, lambda t: F.when(~F.lower(t).isin(NULL_TOKENS), t)))
+    return F.when(bare, F.when(~token(x), x)).when(x.isNotNull(), let(trimmed, lambda t: F.when(~token(t), t)))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -45,8 +48,9 @@ def first_filled(*columns: Column) -> Column:
 
 def snake(x: Column) -> Column:
     """Lower-case Latin letters and digits joined by single underscores; null if there are none."""
-    found = F.regexp_replace(F.regexp_replace(F.lower(clean(x)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    return F.nullif(found, F.lit(""))
+    found = F.nullif(F.regexp_replace(F.regexp_replace(F.lower(clean(x)), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), F.lit(""))
+    # one word needs no more than lower case
+    return F.when(x.rlike(r"\A[A-Za-z0-9]+\z"), F.when(~F.lower(x).isin(NULL_TOKENS), F.lower(x))).otherwise(found)
 
 
 def casefold(x: Column) -> Column:

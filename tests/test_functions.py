@@ -80,3 +80,12 @@ def test_reading_order(spark):
     same = [fixed, "رسوم - تفاصيل الرسوم: ضريبة القيمة المضافة", "تحويل 12,450.00 ريال", "TEA TIME RESTAURANT", "البنك السعودي الرئيسي بطاقة مدى", None]
     assert one(spark, arabic.reading_order, same) == same
     assert one(spark, arabic.reading_order, ["ةفاضملا ةميقلا ةبيرض :موسرلا ليصافت - موسر", "12,450.00 لاير ليوحت", "abc\nموسر"]) == ["رسوم - تفاصيل الرسوم: ضريبة القيمة المضافة", "تحويل ريال 12,450.00", "abc\nرسوم"]
+
+
+def test_clean_as_by_patterns(spark):
+    said = ["a", " a ", "a \u0085", "a  ", "\u0085", " \u0085 ", "a b\n", "\x0b\fN/A\r\n", "null", "a\nb", "", " ", None, "US$", "nan "]
+    df = spark.createDataFrame([(s,) for s in said], "x string")
+    slow = F.trim(F.regexp_replace("x", r"^\s+|\s+$", ""))
+    want = F.when(~F.lower(slow).isin(text.NULL_TOKENS), slow)
+    assert df.where(~text.clean(F.col("x")).eqNullSafe(want)).count() == 0
+    assert one(spark, text.snake, ["Payment", "None", "NaN", "a b", "Payment\n", "--"]) == ["payment", None, None, "a_b", "payment", None]
