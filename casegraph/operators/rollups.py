@@ -12,20 +12,20 @@ KLL_SIZE = 200
 
 
 def grain(df: DataFrame, dims: list[str], sums: list[str], member: str | None = None) -> DataFrame:
-    """The finest totals: dims, a sum for each of sums, n, and of a non-negative whole-number member the bitmap of those seen
-    (in blocks: _block, _members). Later grains are added up from here."""
+    """The finest totals: dims, a sum for each of sums, n, and with a member a row for each member seen (_member). Later grains are added up
+    from here."""
     added = [F.sum(c).alias(c) for c in sums]
     if member is None:
         return df.groupBy(*dims).agg(*added, F.count(F.lit(1)).alias("n"))
-    block = F.bitmap_bucket_number(F.col(member)).alias("_block")
-    return df.groupBy(*dims, block).agg(*added, F.count(F.lit(1)).alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(F.col(member))).alias("_members"))
+    return df.groupBy(*dims, F.col(member).alias("_member")).agg(*added, F.count(F.lit(1)).alias("n"))
 
 
 def totals(grained: DataFrame, dims: list[str], sets: list[list[str]], sums: list[str], distinct: str | None = None) -> DataFrame:
     """Totals of each grouping set: dims (null where summed over), grouping_id (a bit for each dim that is summed over, the first the
     highest), sums, n, and under the name distinct how many different members there are.
 
-    Only the grained rows are expanded. Distinct counts are exact: bitmaps of one block are united before they are counted.
+    Only the grained rows are expanded. Distinct counts are exact: a member's rows are shuffled once, as grained, and count one for each group where
+    they lie, so that what is shuffled again is a row a group and task.
     """
     columns = [F.col(d) for d in dims]
     chosen = [[F.col(d) for d in s] for s in sets]
@@ -33,10 +33,9 @@ def totals(grained: DataFrame, dims: list[str], sets: list[list[str]], sums: lis
     if distinct is None:
         out = grained.groupingSets(chosen, *columns).agg(F.grouping_id().alias("grouping_id"), *[F.sum(c).alias(c) for c in names])
         return out.select(*dims, "grouping_id", *names)
-    blocks = grained.groupingSets([[*s, F.col("_block")] for s in chosen], *columns, F.col("_block")).agg(
-        F.shiftright(F.grouping_id(), 1).alias("grouping_id"), *[F.sum(c).alias(c) for c in names], F.bitmap_count(F.bitmap_or_agg("_members")).alias("_seen")
-    )
-    return blocks.groupBy(*dims, "grouping_id").agg(*[F.sum(c).alias(c) for c in names], F.sum("_seen").alias(distinct))
+    member = F.col("_member")
+    each = grained.repartition(member).groupingSets([[*s, member] for s in chosen], *columns, member).agg(F.shiftright(F.grouping_id(), 1).alias("grouping_id"), *[F.sum(c).alias(c) for c in names])
+    return each.groupBy(*dims, "grouping_id").agg(*[F.sum(c).alias(c) for c in names], F.count("_member").alias(distinct))
 
 
 def cube_sets(dims: list[str]) -> list[list[str]]:

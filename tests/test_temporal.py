@@ -154,3 +154,9 @@ def test_sketches_merge(spark):
     exact = df.groupBy("side", "member").agg(F.max(F.col("day") < 4).alias("f"), F.max(F.col("day") >= 4).alias("l")).where("f AND l").groupBy("side").count().collect()
     want = {r["side"]: r["count"] for r in exact}
     assert all(abs(r["both"] - want[r["side"]]) < 0.1 * 20_000 for r in shared) and len(shared) == 2
+
+
+def test_members_of_any_kind_are_counted(spark):
+    df = spark.createDataFrame([("a", "m1", 1), ("a", "m2", 1), ("b", "m1", 1), ("b", None, 1)], "x string, member string, v long")
+    got = rollups.totals(rollups.grain(df, ["x"], ["v"], "member"), ["x"], rollups.cube_sets(["x"]), ["v"], "seen").collect()
+    assert {(r["x"], r["v"], r["n"], r["seen"]) for r in got} == {("a", 2, 2, 2), ("b", 2, 2, 1), (None, 4, 4, 2)}
