@@ -69,14 +69,14 @@ def derived_status(stage: Column, f: dict[str, Column]) -> Column:
 
 def overview(stages: DataFrame, key: str) -> DataFrame:
     """stages: key, stage, derived (status), record_status, finished_at, error, live (a job runs), used_fingerprint,
-    fingerprint. Adds status, stale_because and state (complete, current, upcoming); a self-join on the stage graph."""
-    edges = stages.sparkSession.createDataFrame([(s, d, i) for s, ds in DEPENDENCIES.items() for i, d in enumerate(ds)], "stage string, dependency string, pos int")
+    fingerprint. Adds status, stale_because and state (complete, current, upcoming). A case's rows come together once; what a stage
+    depends on is looked up among them, so nothing is joined."""
     place = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
-    upstream = stages.select(key, F.col("stage").alias("dependency"), F.col("finished_at").alias("upstream_at"))
-    own = stages.select(key, "stage", "finished_at").where(F.coalesce("finished_at", F.lit("")) != "")
-    later = own.join(F.broadcast(edges), "stage").join(upstream, [key, "dependency"]).where(F.coalesce("upstream_at", F.lit("")) > F.col("finished_at"))
-    because = later.groupBy(key, "stage").agg(F.min_by("dependency", "pos").alias("_dependency"))
-    joined = stages.join(because, [key, "stage"], "left")
+    w = Window.partitionBy(key)
+    upstream = {d: F.max(F.when(F.col("stage") == d, F.col("finished_at"))).over(w).alias(f"_at_{d}") for d in dict.fromkeys(d for ds in DEPENDENCIES.values() for d in ds)}
+    finished = F.nullif(F.col("finished_at"), F.lit(""))
+    later = [F.when((F.col("stage") == s) & F.col(key).isNotNull() & (F.col(f"_at_{d}") > finished), F.lit(d)) for s, ds in DEPENDENCIES.items() for d in ds]
+    joined = stages.select("*", *upstream.values()).withColumn("_dependency", F.coalesce(*later)).drop(*[f"_at_{d}" for d in upstream])
     other_documents = (F.col("used_fingerprint") != "") & (F.col("fingerprint") != "") & (F.col("used_fingerprint") != F.col("fingerprint"))
     stale = F.when(F.col("derived") == "completed", F.when(F.coalesce(other_documents, F.lit(False)), "documents").otherwise(F.col("_dependency")))
     status = (
@@ -87,7 +87,6 @@ def overview(stages: DataFrame, key: str) -> DataFrame:
     )
     message = F.when(status == "error", F.when(F.col("record_status") == "running", F.lit(INTERRUPTED)).otherwise(F.coalesce("error", F.lit("")))).otherwise(F.lit(""))
     out = joined.withColumns({"status": status, "stale_because": F.when(status == "stale", stale), "error": message, "place": place}).drop("_dependency")
-    w = Window.partitionBy(key)
     first_open = F.min(F.when(F.col("status") != "completed", F.col("place"))).over(w)
     return out.withColumn("state", F.when(F.col("status") == "completed", "complete").when(F.col("place") == first_open, "current").otherwise("upcoming"))
 
