@@ -112,9 +112,8 @@ def ordered_distinct(items: Column, fold: bool = True, most: int | None = None)
     """Distinct elements in order of first appearance; with fold, case does not count. Blank ones are left out."""
     kept = F.filter(items, lambda x: F.trim(x) != "")
     if fold:
-        keys = F.transform(kept, lambda x: casefold(F.trim(x)))
-        pairs = F.filter(F.arrays_zip(kept.alias("v"), keys.alias("k"), F.transform(kept, lambda x, i: i + 1).alias("i")), lambda p: F.array_position(keys, p["k"]) == p["i"])
-        found = F.transform(pairs, lambda p: p["v"])
+        firsts = lambda all_, keys: F.filter(all_, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        found = let(kept, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(let(F.transform(all_, lambda x: casefold(F.trim(x))), lambda keys: firsts(all_, keys))))
     else:
         found = F.array_distinct(kept)
     return F.slice(found, 1, most) if most else found

@@ -275,3 +275,9 @@ def test_overview_joins_nothing(spark):
     view = workflow.overview(spark.createDataFrame(rows, "k string, stage string, derived string, record_status string, finished_at string, error string, live boolean, used_fingerprint string, fingerprint string"), "k")
     assert "Join" not in view._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.k, r.stage): r.stale_because for r in view.collect()} == {("c", "documents"): None, ("c", "review"): "documents", ("c", "analysis"): None, (None, "documents"): None, (None, "review"): None}
+
+
+def test_items_are_tidied_once(spark):
+    df = spark.createDataFrame([(["a  b", "A b", " ", "-c-", None],)], "x array<string>").select(extraction.tidy(F.col("x")).alias("x"))
+    assert df.first().x == ["a b", "c"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
