@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def text_list(x: Column, keep_plain: bool = False, most: int | None = None) -> Column:
     """array<string> of a JSON list; an empty array for anything else, or with keep_plain a list of the plain text."""
-    valid = F.try_parse_json(x).isNotNull() & F.trim(x).startswith("[")
-    listed = F.when(valid, F.from_json(x, "array<string>"))
+    valid = F.trim(x).startswith("[") & F.try_parse_json(x).isNotNull()
+    listed = F.when(x == "[]", F.array().cast("array<string>")).when(valid, F.from_json(x, "array<string>"))
     plain = F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.array(x)) if keep_plain else F.lit(None).cast("array<string>")
     found = F.coalesce(listed, plain, F.array().cast("array<string>"))
     return F.slice(found, 1, most) if most else found

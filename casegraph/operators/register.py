@@ -180,8 +180,8 @@ def facts_register(facts_: DataFrame, pages: DataFrame, labels: DataFrame, key:
     the first page (page_id, in order) of its document and number."""
     first = pages.groupBy("case_document_id", "page_number").agg(F.min_by("page_id", "ord").alias("_page"))
     told = facts_.where(F.coalesce("fact_text", F.lit("")) != "").join(first, ["case_document_id", "page_number"], "left")
-    listed = jsonx.text_list(F.col("source_page_ids_json"))
-    found = told.withColumn("page_ids", F.when(F.size(listed) > 0, listed).otherwise(F.when(F.col("_page").isNotNull(), F.array("_page")).otherwise(F.array().cast("array<string>")))).drop("_page")
+    listed = text.let(jsonx.text_list(F.col("source_page_ids_json")), lambda ids: F.when(F.size(ids) > 0, ids))  # read once a fact
+    found = told.withColumn("page_ids", F.coalesce(listed, F.when(F.col("_page").isNotNull(), F.array("_page")), F.array().cast("array<string>"))).drop("_page")
     return labelled(found, [key], labels, distinct=True, ids="page_ids")
 
 

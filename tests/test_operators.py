@@ -281,3 +281,13 @@ def test_items_are_tidied_once(spark):
     df = spark.createDataFrame([(["a  b", "A b", " ", "-c-", None],)], "x array<string>").select(extraction.tidy(F.col("x")).alias("x"))
     assert df.first().x == ["a b", "c"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+
+
+def test_lists_of_pages_are_read_once(spark):
+    from casegraph.operators import register
+
+    facts = spark.createDataFrame([(i, "t", j, "d", i) for i, j in enumerate(['["p1", "p2"]', "[]", " []", "x", None])], "fact_id int, fact_text string, source_page_ids_json string, case_document_id string, page_number int")
+    pages = spark.createDataFrame([("d", 1, "q1", 1, "L1"), ("d", 3, "q3", 1, "L3")], "case_document_id string, page_number int, page_id string, ord int, label string")
+    found = register.facts_register(facts, pages, pages)
+    assert {r.fact_id: (r.page_ids, r.page_labels) for r in found.collect()} == {0: (["p1", "p2"], ["Page p1", "Page p2"]), 1: (["q1"], ["L1"]), 2: ([], []), 3: (["q3"], ["L3"]), 4: ([], [])}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
