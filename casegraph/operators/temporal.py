@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 #: Ranges of time into which the rows of one key are split.
 RANGES = 64
+#: Bits between the lengths of cells: more lengths mean more rows of a point, fewer mean more pairs that do not hold.
+LEVELS = 3
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -59,20 +61,22 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right
 def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
     """Pairs of a point and an interval of its key with start <= at < end: keys, then the other columns of both (of different names).
 
-    An interval lies in at most two cells of the least power of two that holds its length; a point lies in one cell of each length that
-    occurs (64 at most, read from the intervals). So the join is on key, length and cell, and each pair is met once,
+    An interval lies in at most two cells of the least power of eight that holds its length; a point lies in one cell of each length that
+    occurs (22 at most, read from the intervals). So the join is on key, length and cell, and each pair is met once,
     whatever the mix of long and short intervals. Intervals that are empty or have a null end hold nothing.
+    What is told by other columns is made after the shuffle.
     """
     length = as_number(intervals, end) - as_number(intervals, start)
     sized = intervals.withColumn("_length", length).where("_length > 0")
-    level = F.when(F.col("_length") == 1, 0).otherwise(F.length(F.bin(F.col("_length") - 1))).cast("int")
+    bits = F.when(F.col("_length") == 1, 0).otherwise(F.length(F.bin(F.col("_length") - 1)))
+    level = (F.ceil(bits / LEVELS) * LEVELS).cast("int")
     leveled = sized.withColumns({"_level": level, "_from": as_number(intervals, start), "_to": as_number(intervals, end)})
     levels = sorted(r["_level"] for r in leveled.select("_level").distinct().collect())
-    cells = F.expr("sequence(shiftright(_from, _level), shiftright(_to - 1, _level))")
-    held = leveled.withColumn("_cell", F.explode(cells)).drop("_length")
-    spread = points.withColumn("_at", as_number(points, at)).withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_cell", F.expr("shiftright(_at, _level)"))
-    joined = spread.join(held, [*keys, "_level", "_cell"]).where("_at >= _from AND _at < _to")
-    return joined.drop("_level", "_cell", "_at", "_from", "_to")
+    cells = F.expr("CASE WHEN _level > 62 THEN sequence(shiftright(_from, 63), shiftright(_to - 1, 63)) ELSE sequence(shiftright(_from, _level), shiftright(_to - 1, _level)) END")
+    held = leveled.withColumn("_cell", F.explode(cells)).drop("_length", "_from", "_to")
+    spread = points.withColumn("_at", as_number(points, at)).withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_cell", F.expr("shiftright(_at, least(_level, 63))")).drop("_at")
+    inside = (as_number(points, at) >= as_number(intervals, start)) & (as_number(points, at) < as_number(intervals, end))
+    return spread.join(held, [*keys, "_level", "_cell"]).where(inside).drop("_level", "_cell")
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:

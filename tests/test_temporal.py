@@ -160,3 +160,13 @@ def test_members_of_any_kind_are_counted(spark):
     df = spark.createDataFrame([("a", "m1", 1), ("a", "m2", 1), ("b", "m1", 1), ("b", None, 1)], "x string, member string, v long")
     got = rollups.totals(rollups.grain(df, ["x"], ["v"], "member"), ["x"], rollups.cube_sets(["x"]), ["v"], "seen").collect()
     assert {(r["x"], r["v"], r["n"], r["seen"]) for r in got} == {("a", 2, 2, 2), ("b", 2, 2, 1), (None, 4, 4, 2)}
+
+
+def test_few_lengths_of_cells(spark):
+    points = spark.createDataFrame([(1, 5)], "a long, t long")
+    held = spark.createDataFrame([(i, 3, 3 + i) for i in (1, 2, 3, 4, 8, 400)], "i long, s long, e long")
+    found = temporal.within_intervals(points, held, [], "t", "s", "e")
+    assert "[0,3,9]" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["i"] for r in found.collect()) == [3, 4, 8, 400]
+    far = spark.createDataFrame([(1, -(2**62) + 1, 2**62 - 2)], "i long, s long, e long")
+    assert temporal.within_intervals(points, far, [], "t", "s", "e").count() == 1
