@@ -70,7 +70,9 @@ def clauses(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def clause_terms(clause_rows: DataFrame, definitions: DataFrame) -> DataFrame:
     """Clauses and the defined terms that their text contains; definitions are the few of one agreement, joined within its key."""
-    return clause_rows.join(definitions, "agreement_id").where(F.contains(text.casefold(F.col("text")), text.casefold(F.col("term")))).select("agreement_id", "clause_id", "term")
+    clauses_ = clause_rows.select("agreement_id", "clause_id", text.casefold(F.col("text")).alias("_text"))  # once a clause, not once a pair
+    terms = definitions.select("agreement_id", "term", text.casefold(F.col("term")).alias("_term"))
+    return clauses_.join(terms, "agreement_id").where(F.contains("_text", "_term")).select("agreement_id", "clause_id", "term")
 
 
 def grounded(answers: DataFrame, allowed: DataFrame, keys: list[str], cited: str, id_column: str) -> DataFrame:

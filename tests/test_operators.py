@@ -291,3 +291,11 @@ def test_lists_of_pages_are_read_once(spark):
     found = register.facts_register(facts, pages, pages)
     assert {r.fact_id: (r.page_ids, r.page_labels) for r in found.collect()} == {0: (["p1", "p2"], ["Page p1", "Page p2"]), 1: (["q1"], ["L1"]), 2: ([], []), 3: (["q3"], ["L3"]), 4: ([], [])}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
+
+
+def test_texts_are_folded_once_a_clause(spark):
+    from casegraph.operators import review
+
+    found = review.clause_terms(spark.createDataFrame([(1, 1, "The ẞ Term")], "agreement_id int, clause_id int, text string"), spark.createDataFrame([(1, "TERM"), (1, "other")], "agreement_id int, term string"))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "TERM")]
+    assert all("lower" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line)
