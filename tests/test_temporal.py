@@ -170,3 +170,21 @@ def test_few_lengths_of_cells(spark):
     assert sorted(r["i"] for r in found.collect()) == [3, 4, 8, 400]
     far = spark.createDataFrame([(1, -(2**62) + 1, 2**62 - 2)], "i long, s long, e long")
     assert temporal.within_intervals(points, far, [], "t", "s", "e").count() == 1
+
+
+def test_lone_tokens_are_not_searched(monkeypatch):
+    layers = []
+    kept = versions._small_layer
+    monkeypatch.setattr(versions, "_small_layer", lambda *given: layers.append(1) or kept(*given))
+    a = [str(i % 7) for i in range(200)]
+    b = [f"§{i}" if i % 11 == 5 else t for i, t in enumerate(a)]
+    lone = sum(t.startswith("§") for t in b)
+    assert versions.edit_script(a, b) == dynamic_script(a, b)
+    assert len(layers) <= 2 * lone  # the search and what is read back; twice the differences before
+
+
+def test_lone_tokens_at_random():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 12))] for letters in ("abxy", "abuv"))
+        assert versions.edit_script(a, b) == dynamic_script(a, b)
