@@ -100,6 +100,16 @@ def test_graph(spark):
     assert {r.node_id for r in graph.expand_hits(hits, nodes, edges, 40).collect()} == {"A", "B", "C", "D", "E"}
 
 
+def test_neighbours_of_repeated_edges(spark):
+    """Copies of an edge take one place, and the edges are shuffled once, after each task has kept a node's first ones."""
+    edges = spark.createDataFrame([(1, b) for b in range(120, 100, -1) for _ in range(15)] + [(None, 105), (2, 105), (105, 2)], "a long, b long")
+    found = graph.neighbours(edges, "a", "b", 12)
+    plan = edges.sparkSession._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 1 and " HashAggregate" not in plan and "12, Partial" in plan
+    got = {r.node: r.neighbours for r in found.collect()}
+    assert got[1] == list(range(101, 113)) and got[105] == [1, 2] and got[2] == [105] and got[120] == [1]
+
+
 def test_applicability(spark):
     data = [("n1", "ar", "true", '["retail"]', "2024-01-01", None), ("n2", "ar", "0", None, None, None), ("n3", "en", "true", None, None, None), ("n4", "ar", None, None, None, None), ("n5", "ar", "true", '["corporate"]', None, None), ("n6", "ar", "true", "not json", None, None), ("n7", "ar", "true", None, "2024-07-01", None), ("n8", "ar", "true", None, None, "2024-05-31"), ("n9", "ar", "true", None, None, "2024-06-01"), ("n10", "ar", "true", None, None, "bad")]
     nodes = spark.createDataFrame(data, "node_id string, language string, is_current string, customer_types_json string, effective_date string, expiry_date string")
