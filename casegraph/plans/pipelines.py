@@ -193,7 +193,7 @@ def q66_expand_hits(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("O"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("P"), F.col("l_partkey")).alias("target_id"), F.when(F.col("l_returnflag") == "A", "References").when(F.col("l_returnflag") == "R", "cites").otherwise("amends").alias("type")
     )
     hits = relational.ranked(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderkey")], "seed_ord").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("node_id"), "seed_ord")
-    found = graph.expand_hits(hits, _tree(spark, sf).unionByName(parts), edges.distinct(), 12, max_depth=4, group=["query_id"])
+    found = graph.expand_hits(hits, _tree(spark, sf).unionByName(parts), edges, 12, max_depth=4, group=["query_id"])
     return found.select("query_id", "node_id", "label", F.col("seed_ord").cast("long").alias("seed_ord"))
 
 

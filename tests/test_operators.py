@@ -1,5 +1,6 @@
 """Operators against golden values."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -100,6 +101,23 @@ def test_graph(spark):
     assert {r.node_id for r in graph.expand_hits(hits, nodes, edges, 40).collect()} == {"A", "B", "C", "D", "E"}
 
 
+def test_expansion_of_lists(spark):
+    """Lists apart, hits and edges that repeat, hits under one parent, a cycle, hits that are no nodes; what is reached is brought together once."""
+    nodes = spark.createDataFrame([*NODES, ("H", "B"), ("I", "D")], "node_id string, parent_id string")
+    edges = spark.createDataFrame([*EDGES, *EDGES, ("C", "E", "amends"), ("X", "A", "amends"), ("H", "E", "amends")], "source_id string, target_id string, type string")
+    hits = spark.createDataFrame([(1, "X", 0), (1, "C", 1), (1, "H", 2), (1, "C", 3), (1, "F", 4), (2, "B", 1), (2, "H", 2), (2, "G", 3)], "q long, node_id string, seed_ord int")
+    found = graph.expand_hits(hits, nodes, edges, 7, max_children=2, group=["q"])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert re.findall(r"Exchange hashpartitioning\(q#\d+L, (\w+)#", plan) == ["parent_id"] and plan.count("REPARTITION_BY_COL") == 1
+    assert {(r.q, r.node_id, r.label, r.seed_ord) for r in found.collect()} == {
+        (1, "C", "retrieved", 1), (1, "B", "parent", 1), (1, "A", "ancestor", 1), (1, "E", "amends", 1),
+        (1, "H", "retrieved", 2), (1, "F", "retrieved", 4), (1, "G", "parent", 4),
+        (2, "B", "retrieved", 1), (2, "A", "parent", 1), (2, "C", "child", 1), (2, "D", "child", 1),
+        (2, "H", "retrieved", 2), (2, "E", "amends", 2), (2, "G", "retrieved", 3), (2, "F", "parent", 3),
+    }
+    assert {r.node_id for r in graph.expand_hits(hits.where("q = 2").drop("q"), nodes, edges, 4).collect()} == {"A", "B", "C", "D", "H"}
+
+
 def test_neighbours_of_repeated_edges(spark):
     """Copies of an edge take one place, and the edges are shuffled once, after each task has kept a node's first ones."""
     edges = spark.createDataFrame([(1, b) for b in range(120, 100, -1) for _ in range(15)] + [(None, 105), (2, 105), (105, 2)], "a long, b long")
